@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import encoding, mixing, packing, tokens
+from . import encoding, match, mixing, packing, tokens
+
+
+# --- 2 matching
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    master = table(spark, d, "psgc_lgu_master")
+    recs = materialize(match.panel_records(table(spark, d, "sre_panel"), table(spark, d, "psa_panel")), "match-records")
+    units = materialize(match.master_units(master), "match-master")
+    return match.match_records(recs, units, master)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("src", F.col("rec_id").cast("bigint").alias("rec_id"), "psgc10")
 
 
 # --- 8 packing
@@ -43,7 +55,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_packed, p8_usage, p9_mixture, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p2_found, p2_matches, p8_packed, p8_usage, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,10 +5,3 @@ leaves physical planning to Catalyst.
 """
 
 __version__ = "0.1.0"
-
-import sys as _sys
-
-from pyspark import cloudpickle as _cloudpickle
-
-# Functions that run in Python workers travel by value, so executors need no copy of this package.
-_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -20,6 +20,7 @@ TITLES = ("santo", "santa", "san", "mount", "general", "governor", "president",
 LEVELS = {"city": "city", "cty": "city", "c": "city", "lungsod": "city", "municipality": "municipality", "mun": "municipality", "bayan": "municipality", "province": "province", "prov": "province", "lalawigan": "province", "pgo": "province"}
 NO_PLACE = r"^(sub-?\s*totals?|grand totals?|provincial totals?|totals?|continued|see note.*|nothing follows|notes?\b.*|source\b.*|prepared by.*|page \d+.*|n/?a|nan|none|null|-+|\.+|)$"
 
+_TITLE = re.compile(r"^(" + "|".join(TITLES) + r")(?=.{4,}$)")
 _LEVEL_WORD = r"(city|cty|c|lungsod|municipality|mun|bayan|province|prov|lalawigan)"
 _PREFIX = re.compile(rf"^(?:the\s+)?{_LEVEL_WORD}\.?\s+(?:of|ng)\s+")
 _PGO = re.compile(r"^pgo\.?\s+")
@@ -99,6 +100,14 @@ def parse(name: str | None) -> tuple[str, str, str, str, str]:
     return title + core, title, core, level, " ".join(notes)
 
 
+def parts(compact: str) -> tuple[str, str, str, str]:
+    """Title, core, skeleton and consonants (of the core) of a compact name, as ``with_parts`` makes them."""
+    m = _TITLE.match(compact)
+    title = m.group(1) if m else ""
+    core = compact[len(title) :]
+    return title, core, skeleton(compact), consonants(core)
+
+
 def level_of(typed: str | None) -> str:
     """The level a type column tells: province, city, municipality or ''."""
     t = plain(typed)[:1]

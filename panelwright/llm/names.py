@@ -18,7 +18,7 @@ LEADING = {
 TRAILING = {"s": "sur", "sr": "sur", "n": "norte", "nte": "norte", "or": "oriental", "ori": "oriental", "ortl": "oriental", "oc": "occidental", "occ": "occidental", "occtl": "occidental", "occl": "occidental"}
 TITLES = ("santo", "santa", "san", "mount", "general", "governor", "president", "puerto", "nueva", "villa", "bagong")
 LEVELS = {"city": "city", "cty": "city", "c": "city", "lungsod": "city", "municipality": "municipality", "mun": "municipality", "bayan": "municipality", "province": "province", "prov": "province", "lalawigan": "province", "pgo": "province"}
-NO_PLACE = r"^(sub-?\s*totals?|grand totals?|provincial totals?|totals?|continued|see note.*|nothing follows|notes?\b.*|source\b.*|prepared by.*|page \d+.*|n/?a|nan|none|null|-+|\.+|)$"
+NO_PLACE = r"^(sub-?\s*totals?|grand totals?|provincial totals?|totals?|continued|see note.*|nothing follows|no submission|notes?\b.*|source\b.*|prepared by.*|page \d+.*|n/?a|nan|none|null|-+|\.+|)$"
 
 _TITLE = re.compile(r"^(" + "|".join(TITLES) + r")(?=.{4,}$)")
 _LEVEL_WORD = r"(city|cty|c|lungsod|municipality|mun|bayan|province|prov|lalawigan)"

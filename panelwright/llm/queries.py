@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import encoding, match, mixing, packing, tokens
+from . import encoding, match, mixing, packing, tokens, variants
 
 
 # --- 2 matching
@@ -21,6 +21,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_matches(spark, d).select("src", F.col("rec_id").cast("bigint").alias("rec_id"), "psgc10")
 
 
+# --- 3 variants
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    master = table(spark, d, "psgc_lgu_master")
+    labels = materialize(match.panel_records(table(spark, d, "sre_panel")), "variants-records")
+    units = materialize(match.master_units(master), "variants-master")
+    return materialize(variants.link(labels, units, master), "variants-linked")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.variant_pairs(_linked(spark, d))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    c = variants.classes(_linked(spark, d))
+    return c.select(F.col("rec_id").cast("bigint").alias("label_id"), "entity", "n_links")
+
+
 # --- 8 packing
 def _capacities(spark: SparkSession, d: str) -> dict[int, int]:
     return {r["spec_id"]: r["capacity_tokens"] for r in table(spark, d, "pack_specs").collect()}  # the list of specs
@@ -55,7 +72,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_matches, p8_packed, p8_usage, p9_mixture, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p2_found, p2_matches, p3_found, p3_classes, p8_packed, p8_usage, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

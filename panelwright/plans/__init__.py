@@ -1 +1 @@
-
+"""Composite pipelines over several operators."""

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, quality_sql
+from . import panel, panel_sql, quality, quality_sql
 
-FLAGSHIP = "p6_profile"
+FLAGSHIP = "feature_matrix"
 
 
 def queries() -> dict:
-    return quality.queries()
+    return panel.queries() | quality.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(quality_sql.SQL)
+    return dict(panel_sql.SQL) | dict(quality_sql.SQL)

@@ -160,7 +160,7 @@ def slots(groups: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarra
     return {s: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for s, v in at.items()}
 
 
-def pack(items: DataFrame, key: str, size: str, capacities: dict[int, int], salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacities: dict[int, int], salts: int | None = None) -> DataFrame:
     """Every item's container: ``(spec_id, key, part, container_id, part_tokens)``.
 
     ``capacities`` maps a spec to its capacity. An item larger than the
@@ -168,8 +168,9 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[int, int], salt
     that is packed like an item; no other item is split. ``container_id`` counts
     from 0 within the spec, packed containers first.
 
-    Ranks within a size are counted by ``salts`` parts of the keys, so a size
-    that a third of all items share is still ranked by many tasks. What the
+    Ranks within a size are counted by ``salts`` parts of the keys (64, or four
+    per core of the cluster if that is more), so a size that a third of all
+    items share is still ranked by many tasks. What the
     driver gets is one row per size up to the capacity.
 
     Defined results: items of size 0 or null get one row with part 0 and a null
@@ -177,6 +178,7 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[int, int], salt
     packed; an empty table gives no rows.
     """
     ktype = dict(items.dtypes)[key]
+    salts = salts or max(64, 4 * items.sparkSession.sparkContext.defaultParallelism)
     caps = F.explode(F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("bigint").alias("cap")) for s, c in sorted(capacities.items())])).alias("c")
     x = items.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("n"), caps).select("k", "n", "c.*")
     x = x.withColumn("full", F.floor((F.col("n") - 1) / F.col("cap"))).withColumn("full", F.greatest("full", F.lit(0)))

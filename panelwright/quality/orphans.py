@@ -61,14 +61,15 @@ def find_orphans(
     removed: str,
     keep: list[str],
     stride: int = 1,
-    salts: int = 16,
+    limit: int = 1 << 19,
 ) -> DataFrame:
     """References whose parent was not there when they were made, with a ``reason``.
 
-    ``keep`` names the columns of ``refs`` to return. References are spread over
-    ``salts`` parts of each key bucket, and the few parent rows are copied to
-    each, so one key that holds a third of all rows is still read by many tasks.
-    One shuffle of the references.
+    ``keep`` names the columns of ``refs`` to return. A key bucket with more than
+    ``limit`` references is split: its references are spread over as many parts
+    as needed and its few parent rows copied to each, so one key that holds a
+    third of all rows is still read by many tasks. References are counted per
+    bucket before any of them moves, and are then shuffled once.
 
     Defined results: a null key is no reference; a key that writes no integer is
     'malformed'; a reference without a time counts if its key exists at all; an
@@ -79,20 +80,23 @@ def find_orphans(
     step = 4096 * stride
     v = versions(parents, parent_key, added, removed)
     runs = key_runs(v, stride)
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     early = F.lit("0001-01-01 00:00:00").cast("timestamp")
     none_t, none_l = F.lit(None).cast("timestamp"), F.lit(None).cast("bigint")
     row_type = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in refs.select(*keep).schema) + ">"
     none_r = F.lit(None).cast(row_type)
-    ev_runs = runs.select("bucket", salt, "k", early.alias("t"), F.lit(0).alias("o"), F.col("k_end").alias("run_end"), none_l.alias("v_key"), none_t.alias("v_end"), none_r.alias("r"))
-    ev_vers = v.select(F.floor(F.col("k") / step).alias("bucket"), salt, "k", F.col("t0").alias("t"), F.lit(1).alias("o"), none_l.alias("run_end"), F.col("k").alias("v_key"), F.col("t1").alias("v_end"), none_r.alias("r"))
-    r = refs.filter(F.col(ref_key).isNotNull()).select(
-        code_to_long(F.col(ref_key)).alias("k"), F.col(ref_time).alias("rt"), F.struct(*keep).alias("r")
-    )
+    r = refs.filter(F.col(ref_key).isNotNull()).select(code_to_long(F.col(ref_key)).alias("k"), F.col(ref_time).alias("rt"), F.struct(*keep).alias("r"))
     bad = r.filter("k is null").select("r", F.lit(MALFORMED).alias("reason"))
+    r = r.filter("k is not null").withColumn("bucket", F.floor(F.col("k") / step))
+    # only split buckets are listed, so this side is empty or tiny unless most of the data is hot
+    hot = r.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("bucket", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    salt = F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")
+    ev_runs = runs.join(hot, "bucket", "left").select("bucket", salt, "k", early.alias("t"), F.lit(0).alias("o"), F.col("k_end").alias("run_end"), none_l.alias("v_key"), none_t.alias("v_end"), none_r.alias("r"))
+    vb = v.withColumn("bucket", F.floor(F.col("k") / step)).join(hot, "bucket", "left")
+    ev_vers = vb.select("bucket", salt, "k", F.col("t0").alias("t"), F.lit(1).alias("o"), none_l.alias("run_end"), F.col("k").alias("v_key"), F.col("t1").alias("v_end"), none_r.alias("r"))
     far = F.lit("9999-12-30 00:00:00").cast("timestamp")
-    ev_refs = r.filter("k is not null").select(
-        F.floor(F.col("k") / step).alias("bucket"), F.pmod(F.xxhash64("r"), F.lit(salts)).cast("int").alias("salt"), "k",
+    ev_refs = r.join(hot, "bucket", "left").select(
+        "bucket", F.pmod(F.xxhash64("r"), parts).cast("int").alias("salt"), "k",
         F.coalesce("rt", far).alias("t"), F.lit(2).alias("o"), none_l.alias("run_end"), none_l.alias("v_key"), none_t.alias("v_end"), "r",
     )
     w = W.partitionBy("bucket", "salt").orderBy("k", "t", "o").rowsBetween(W.unboundedPreceding, 0)

@@ -38,6 +38,8 @@ def test_orphans_match_brute_force_with_skew(spark):
     r = spark.createDataFrame(refs, "id long, code string, at timestamp").withColumn("k", F.lit("clash")).withColumn("t", F.lit(1))
     got = orphans.find_orphans(r, "code", "at", p, "code", "added_at", "removed_at", ["id", "k", "t"])
     rows = got.collect()
+    split = orphans.find_orphans(r, "code", "at", p, "code", "added_at", "removed_at", ["id", "k", "t"], limit=100).collect()
+    assert sorted(map(tuple, split)) == sorted(map(tuple, rows))
     assert {x["id"] for x in rows} == brute_orphans(refs, parents)
     assert len(rows) == len({x["id"] for x in rows})
     reasons = {x["id"]: x["reason"] for x in rows}

@@ -74,6 +74,18 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def steps_dir(spark: SparkSession) -> str:
+    """Where this application's written steps lie."""
+    return f"{shared_dir(spark)}/panelwright-steps-{spark.sparkContext.applicationId}"
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Delete the written steps; results that still read them must have been saved before."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(steps_dir(spark))
+    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -82,7 +94,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     serialized RDD checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -32,6 +32,8 @@ DROP, HINTED, LAYERS = 1.2, 0.9, 4
 
 #: Characters that are common in texts of Western languages (fixed values).
 COMMON_LOWER = set("áéíóúñüãõçâêôàèìòùäöëïîû")
+#: Of these the ones that seldom begin or end a word; quotation marks turn into them.
+EDGELESS = set("ìîöëïäûò")
 OPENING, CLOSING, DASHES = set("“‘«¿¡"), set("”’»…"), set("–—")
 LONE = set("éàáóúèêô")
 SIGNS = set("₱±≈≥≤→←×÷°º§©®€£¥¢•·≠²³½¼¾µ")
@@ -122,7 +124,10 @@ def cost(left: str, run: str, right: str) -> float:
             elif k == "l":
                 base = 0.1 if c in COMMON_LOWER else 1.6
                 odd = 0.2 if alone and c in LONE else 2.4 if alone else 1.2 if (ka not in "lu" and kb not in "lu") or ka in "xgc" or kb in "xgc" else 0.0
-                total += base + odd + (0.6 if ka == "u" and kb == "u" else 0.0)
+                edge = 1.9 if c in EDGELESS and not word and not alone else 0.0
+                # an apostrophe read as a letter: doesnít
+                cut = 2.5 if c in "íÕ" and a == "n" and b == "t" and i == at + len(run) - 1 and len(right) > 1 and not right[1].isalpha() else 0.0
+                total += base + odd + edge + cut + (0.6 if ka == "u" and kb == "u" else 0.0)
             elif k == "u":
                 base = 0.2 if c.lower() in COMMON_LOWER else 1.6
                 inside = ka == "l"
@@ -203,7 +208,7 @@ def repair(text: str) -> tuple[str, list[str], int]:
     votes: dict[str, int] = {}
     for m in _RUN.finditer(text):
         a, b = m.span()
-        _, layers = repair_run(text[max(0, a - 1) : a], m.group(), text[b : b + 1])
+        _, layers = repair_run(text[max(0, a - 1) : a], m.group(), text[b : b + 2])
         for x in layers[:1]:
             votes[x] = votes.get(x, 0) + 1
     hint = max(votes, key=lambda x: (votes[x], x.endswith("cp1252"), x)) if votes else ""
@@ -213,7 +218,7 @@ def repair(text: str) -> tuple[str, list[str], int]:
     def sub(m: re.Match) -> str:
         nonlocal lost
         a, b = m.span()
-        out, layers = repair_run(text[max(0, a - 1) : a], m.group(), text[b : b + 1], hint)
+        out, layers = repair_run(text[max(0, a - 1) : a], m.group(), text[b : b + 2], hint)
         used.update(dict.fromkeys(layers))
         if any(c == "\ufffd" or "\x80" <= c < "\xa0" or "\u2500" <= c <= "\u25ff" or "\ue000" <= c <= "\uf8ff" for c in out):
             lost += 1

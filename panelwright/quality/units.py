@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.joins import null_safe_join
+from ..session import materialize
 from .profiling import exact_quantiles
 
 #: Powers of ten of the units: thousandths and millionths come from amounts divided twice.
@@ -127,9 +128,11 @@ def decode_units(rows: DataFrame) -> DataFrame:
     r = r.select("id", "device", "time", "source", "said", "l", dev.alias("dev"))
     cost = lambda s: F.coalesce(F.least(F.pow((F.col("dev") - s) / LEVEL_SD, 2) / 2, F.lit(LEVEL_CAP)), F.lit(0.0))
     near = F.array_min(F.array(*[F.struct(F.abs(F.col("dev") - s).alias("d"), F.lit(s).alias("s")) for s in STATES]))["s"]
-    r = r.withColumn("near", near)
+    # read three times below, so written once; the plan before it ends here
+    r = materialize(r.withColumn("near", near), "unit-rows")
     # how the rows of the same file were recorded; a file's count is one record per task before the shuffle
     files = r.filter("source is not null").groupBy("source").agg(F.count("near").alias("fn"), *[F.count_if(F.col("near") == s).alias(f"f{i}") for i, s in enumerate(STATES)])
+    bare = r.withColumn("bin", F.floor(F.col("l") * 10).cast("int"))
     r = null_safe_join(r, files, ["source"])
     for i, s in enumerate(STATES):
         share = F.when(F.col("fn") > 0, -F.log((F.col(f"f{i}") + 0.3) / (F.col("fn") + 0.3 * len(STATES)))).otherwise(F.lit(0.0))
@@ -146,7 +149,7 @@ def decode_units(rows: DataFrame) -> DataFrame:
     kinds = dict(r.dtypes)
     out = seq.mapInPandas(_decode, f"device {kinds['device']}, times array<{kinds['time']}>, bins array<int>, path array<int>")
     out = out.select(F.col("device").alias("_d"), F.explode(F.arrays_zip("times", "bins", "path")).alias("z")).select("_d", F.col("z.times").alias("_t"), F.col("z.bins").alias("_b"), F.col("z.path").alias("exponent"))
-    got = r.join(out, (F.col("device") == F.col("_d")) & (F.col("time") == F.col("_t")) & (F.col("bin") == F.col("_b"))).select("id", "exponent")
+    got = bare.filter(~lone).join(out, (F.col("device") == F.col("_d")) & (F.col("time") == F.col("_t")) & (F.col("bin") == F.col("_b"))).select("id", "exponent")
     return got.unionByName(single)
 
 

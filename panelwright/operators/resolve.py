@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import bracketed, level_key, match_key, plain_key, without_brackets
+from ..session import materialize
 from .joins import null_safe_join
 
 #: Least scores and margins of the fuzzy tiers (fixed values): within province and level, within province, within level, anywhere.
@@ -39,6 +40,28 @@ def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def ratio_from(least: float):  # noqa: ANN201
+    """``block_ratio`` that returns 0 below ``least``; its cheap upper bounds spare most pairs the full comparison."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        made: dict[str, SequenceMatcher] = {}
+        seen: dict[tuple[str, str], float] = {}
+        out = []
+        for x, y in zip(a, b, strict=True):
+            r = seen.get((x, y))
+            if r is None:
+                m = made.get(y)
+                if m is None:
+                    m = made[y] = SequenceMatcher(None, "", y)
+                m.set_seq1(x)
+                r = seen[x, y] = m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+            out.append(r)
+        return pd.Series(out, dtype=float)
+
+    return run
+
+
 def alias_closure(edges: DataFrame, depth: int = 3) -> DataFrame:
     """All aliases within ``depth`` steps of each key, with the fewest steps: ``(key, alias, depth)``; every key reaches itself.
 
@@ -92,6 +115,7 @@ def exact_tiers(prepared: DataFrame, cat: DataFrame) -> DataFrame:
     same = k.join(cat, ["key", "prov"])
     swap = F.when(F.col("want") == "city", "municipality").when(F.col("want") == "municipality", "city")
     t1 = _first(same.filter(F.col("level") == F.col("want")).withColumn("o", F.lit(0)).unionByName(same.filter(F.col("level") == swap).withColumn("o", F.lit(1))).withColumn("ord", F.col("o") * 100 + F.col("ord")), 1)
+    t1 = materialize(t1, "tier-1")
     left = k.join(t1.select("rid"), "rid", "left_anti")
     by_level = cat.groupBy("key", "level").agg(F.count_distinct("psgc10").alias("n"), F.min("psgc10").alias("psgc10")).filter("n = 1")
     by_key = cat.groupBy("key").agg(F.count_distinct("psgc10").alias("n"), F.min("psgc10").alias("psgc10")).filter("n = 1")
@@ -119,33 +143,37 @@ def fuzzy_tiers(rest: DataFrame, cat: DataFrame) -> DataFrame:
     """
     k = rest.select("rid", "prov", "want", F.posexplode("keys").alias("ord", "key")).filter("length(key) > 2")
     c = cat.select("psgc10", F.col("key").alias("ckey"), F.col("prov").alias("cprov"), F.col("level").alias("clevel"))
-    near = F.abs(F.length("key") - F.length("ckey")) <= 0.2 * (F.length("key") + F.length("ckey"))
+    la, lb = F.length("key"), F.length("ckey")
     grams = lambda x: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3)))))
-    done, out = None, []
+    todo, out = k, []
 
-    def todo() -> DataFrame:
-        return k if done is None else k.join(done, "rid", "left_anti")
+    def floor(least: float, margin: float | None) -> float:
+        return least - (margin or 0.0)  # a runner-up below this does not matter
 
     def settle(pairs: DataFrame, tier: int, least: float, margin: float | None) -> None:
-        nonlocal done
-        b = _best_two(pairs.withColumn("s", block_ratio("key", "ckey"))).filter(F.col("s") >= least)
+        nonlocal todo
+        low = floor(least, margin)
+        b = _best_two(pairs.filter(F.abs(la - lb) <= (1 - low) * (la + lb)).withColumn("s", ratio_from(low)("key", "ckey"))).filter(F.col("s") >= least)
         if margin is not None:
             b = b.filter(F.col("s") - F.col("second") > margin)
-        r = b.select("rid", "psgc10", F.lit(tier).alias("tier"), F.round("s", 4).alias("score"))
+        # each tier is written, as the next one and the result read it
+        r = materialize(b.select("rid", "psgc10", F.lit(tier).alias("tier"), F.round("s", 4).alias("score")), f"tier-{tier}")
         out.append(r)
-        done = r.select("rid") if done is None else done.unionByName(r.select("rid"))
+        todo = todo.join(r.select("rid"), "rid", "left_anti")
 
-    t = todo()
-    settle(t.join(c, (t["prov"] == c["cprov"]) & (t["want"] == c["clevel"]) & near), 3, *FUZZY["3"])
-    t = todo()
-    settle(t.join(c, (t["prov"] == c["cprov"]) & near), 3, *FUZZY["3b"])
+    settle(todo.join(c, (todo["prov"] == c["cprov"]) & (todo["want"] == c["clevel"])), 3, *FUZZY["3"])
+    settle(todo.join(c, todo["prov"] == c["cprov"]), 3, *FUZZY["3b"])
     cg = c.withColumn("g", grams(F.col("ckey")))
     for tier, level in ((4, True), (5, False)):
-        t = todo().withColumn("g", grams(F.col("key")))
-        cond = (t["g"] == cg["g"]) & near
+        least, margin = FUZZY[str(tier)]
+        t = todo.withColumn("g", grams(F.col("key")))
+        cond = (t["g"] == cg["g"]) & (F.abs(la - lb) <= (1 - floor(least, margin)) * (la + lb))
         if level:
             cond = cond & (t["want"] == cg["clevel"])
-        settle(t.join(cg, cond).select("rid", "ord", "key", "ckey", "psgc10").distinct(), tier, *FUZZY[str(tier)])
+        shared = t.join(cg, cond).groupBy("rid", "ord", "key", "ckey", "psgc10").agg(F.count(F.lit(1)).alias("n"))
+        # m letters in matching blocks leave at least m - 2 * blocks common trigrams, of which a few may repeat
+        m = F.ceil(floor(least, margin) * (la + lb) / 2)
+        settle(shared.filter(F.col("n") >= F.greatest(F.lit(1), m - 2 * (la + lb - 2 * m + 1) - 2)).drop("n"), tier, least, margin)
     return reduce(DataFrame.unionByName, out)
 
 
@@ -156,7 +184,8 @@ def crosswalk(records: DataFrame, master: DataFrame, name: str = "lgu_name", pro
     """
     p = prepare(records, name, province, level)
     cat = catalog(master)
-    ex = exact_tiers(p, cat)
+    p, cat = materialize(p, "tier-records"), materialize(cat, "tier-catalog")
+    ex = materialize(exact_tiers(p, cat), "tier-exact")
     fz = fuzzy_tiers(p.join(ex.select("rid"), "rid", "left_anti"), cat)
     hit = ex.unionByName(fz)
     names = master.select("psgc10", F.col("name").alias("matched_name"))

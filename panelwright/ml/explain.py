@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,22 +92,77 @@ def tree_contributions(root: dict, x: np.ndarray, out: np.ndarray, weight: float
     walk(root, [], 1.0, 1.0, -1)
 
 
+def _flat(root: dict) -> tuple[list[dict], list[tuple]]:
+    """Tests of a tree and, per leaf, the features of its path, the tests and sides each asks for, and the shares for every outcome.
+
+    A feature either keeps to the leaf's path (1) or not (0), so a leaf over d
+    features has 2^d outcomes; their Shapley shares are worked out once, with
+    the same covers as in ``tree_contributions``, and looked up per row.
+    """
+    tests: list[dict] = []
+    leaves: list[tuple] = []
+
+    def walk(n: dict, path: dict[int, tuple[float, tuple]]) -> None:
+        if "v" in n:
+            if path:
+                leaves.append((list(path), [q for _, q in path.values()], _shares(np.array([z for z, _ in path.values()])) * n["v"]))
+            return
+        tests.append({k: n[k] for k in ("f", "t", "left") if k in n})
+        i = len(tests) - 1
+        z, q = path.get(n["f"], (1.0, ()))
+        for child, side in ((n["l"], True), (n["r"], False)):
+            walk(child, path | {n["f"]: (z * child["c"] / max(n["c"], 1e-12), (*q, (i, side)))})
+
+    walk(root, {})
+    return tests, leaves
+
+
+def _shares(zero: np.ndarray) -> np.ndarray:
+    """``(d, 2^d)``: each feature's share of a leaf of value 1 by outcome, bit j of which is feature j."""
+    d = len(zero)
+    one = (np.arange(2**d)[None, :] >> np.arange(d)[:, None] & 1).astype(float)
+    weight = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+    out = np.empty((d, 2**d))
+    for i in range(d):
+        by_size = np.zeros((d, 2**d))  # subsets of the other features by size
+        by_size[0] = 1.0
+        for j in range(d):
+            if j != i:
+                by_size[1:] = by_size[1:] * zero[j] + by_size[:-1] * one[j]
+                by_size[0] *= zero[j]
+        out[i] = (one[i] - zero[i]) * (np.array(weight) @ by_size)
+    return out
+
+
+def batch_contributions(flat: list[tuple[float, tuple]], x: np.ndarray, n: int) -> np.ndarray:
+    """``tree_contributions`` of all trees for all rows of ``x`` at once: ``(rows, n)``."""
+    out, cols = np.zeros((n, len(x))), np.ascontiguousarray(x.T)
+    for w, (tests, leaves) in flat:
+        left = [cols[t["f"]] <= t["t"] if "t" in t else np.isin(cols[t["f"]], t["left"]) for t in tests]
+        sides = [(~v, v) for v in left]
+        for features, asked, shares in leaves:
+            code = np.zeros(len(x), np.int32)
+            for j, q in enumerate(asked):
+                kept = sides[q[0][0]][q[0][1]]
+                for i, side in q[1:]:
+                    kept = kept & sides[i][side]
+                code |= kept.astype(np.int32) << j
+            for f, share in zip(features, shares, strict=True):
+                out[f] += w * share[code]
+    return out.T
+
+
 def contributions(df: DataFrame, trees: list[tuple[float, dict]], keys: list[str], features: str, names: list[str]) -> DataFrame:
     """``keys``, one column per feature, ``bias``: they sum to the prediction. Rows are explained in Arrow batches."""
     bias = sum(w * expected(t) for w, t in trees)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     ddl += "".join(f", `{n}` double" for n in names) + ", bias double"
-    shared = df.sparkSession.sparkContext.broadcast(trees)  # a fitted model, bounded by its parameters
+    shared = df.sparkSession.sparkContext.broadcast([(w, _flat(t)) for w, t in trees])  # a fitted model, bounded by its parameters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for x in pdf["__x"]:
-                out = np.zeros(len(names))
-                for w, t in shared.value:
-                    tree_contributions(t, np.asarray(x, float), out, w)
-                rows.append(out)
-            got = pd.DataFrame(np.array(rows).reshape(-1, len(names)), columns=names)
+            x = np.array(pdf["__x"].tolist(), float).reshape(len(pdf), -1)
+            got = pd.DataFrame(batch_contributions(shared.value, x, len(names)) if len(pdf) else np.zeros((0, len(names))), columns=names)
             yield pd.concat([pdf[keys].reset_index(drop=True), got, pd.DataFrame({"bias": np.full(len(pdf), bias)})], axis=1)
 
     return df.select(*keys, vector_to_array(features).alias("__x")).mapInPandas(run, ddl)

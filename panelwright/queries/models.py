@@ -36,14 +36,14 @@ def _fitted(x: DataFrame):  # noqa: ANN202
     train = x.filter("fiscal_year <= 2019")
     nums = models.usable(train, NUMERIC)
     tr = models.as_features(train, nums, CATEGORICAL, True)
-    return nums, models.boosted(nums, CATEGORICAL, "target", rounds=12, depth=4).fit(tr)
+    return nums, models.boosted(nums, CATEGORICAL, "target").fit(tr)
 
 
 def _contributions(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     x = _input(spark, d)
     nums, model = _fitted(x)
     names = [*nums, *[f"{c}_missing" for c in nums], *CATEGORICAL]
-    rows = model.transform(models.as_features(x.filter("fiscal_year > 2019"), nums, CATEGORICAL, True))
+    rows = model.transform(models.as_features(x, nums, CATEGORICAL, True))
     c = explain.contributions(rows, explain.export_trees(model.stages[-1]), ["row_id", "psgc10", "prediction"], "features", names)
     return materialize(c, "contributions"), names
 
@@ -62,7 +62,7 @@ def attribution_ranking(spark: SparkSession, d: str) -> DataFrame:
 def entity_clusters(spark: SparkSession, d: str) -> DataFrame:
     c, names = _contributions(spark, d)
     e = c.groupBy("psgc10").agg(*[F.avg(n).alias(n) for n in names])
-    return explain.clusters(e, "psgc10", names, k=5, seeds=2).select("psgc10", "cluster", *names)
+    return explain.clusters(materialize(e, "entities"), "psgc10", names).select("psgc10", "cluster", *names)
 
 
 def cluster_signatures(spark: SparkSession, d: str) -> DataFrame:

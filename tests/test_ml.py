@@ -61,6 +61,18 @@ def test_contributions_sum_to_the_prediction(spark, tmp_path):
     assert got == pytest.approx([phi0, phi1])
 
 
+def test_batches_equal_the_walk_of_single_rows(spark):
+    d = models.as_features(data(spark, 200), ["a", "b"], ["c"], True)
+    m = models.boosted(["a", "b"], ["c"], "target", rounds=5, depth=5, leaf=3).fit(d)
+    trees = explain.export_trees(m.stages[-1])
+    x = np.array([r[0].toArray() for r in m.transform(d).select("features").collect()])
+    want = np.zeros((len(x), 5))
+    for row, out in zip(x, want, strict=True):
+        for w, t in trees:
+            explain.tree_contributions(t, row, out, w)
+    assert np.allclose(explain.batch_contributions([(w, explain._flat(t)) for w, t in trees], x, 5), want, atol=1e-9)
+
+
 def test_clusters_and_signatures(spark):
     rows = [(f"e{i}", float(i % 2 * 10 + i * 0.01), float(i % 2)) for i in range(30)]
     c = explain.clusters(spark.createDataFrame(rows, "id string, a double, b double"), "id", ["a", "b"], k=2, seeds=2)

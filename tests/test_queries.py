@@ -3,7 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as e
-from panelwright.queries import registry
+from panelwright.queries import models, registry
 from tests.compare import compare, connect
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -22,6 +22,23 @@ def test_query_without_sql_runs(spark, name):
     assert e.queries()[name](spark, DATA).count() >= 0
 
 
+@needs_data
+def test_all_rows_are_explained_with_default_parameters(spark, monkeypatch):
+    seen = {}
+
+    def spy(owner, name, note):
+        f = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a, **k: (note(a, k), f(*a, **k))[1])
+
+    spy(models.models, "boosted", lambda a, k: seen.update(boosted=k))
+    spy(models.explain, "clusters", lambda a, k: seen.update(clusters=k))
+    spy(models.explain, "contributions", lambda a, k: seen.update(rows=a[0].count()))
+    clustered = models.entity_clusters(spark, DATA)
+    x = models._input(spark, DATA)
+    assert seen == {"boosted": {}, "clusters": {}, "rows": x.count()}
+    assert {r[0] for r in clustered.select("psgc10").collect()} == {r[0] for r in x.select("psgc10").distinct().collect()}
+
+
 @needs_data
 def test_entry(spark):
     assert e.entry(spark).limit(5).count() == 5

@@ -77,7 +77,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_stability(spark: SparkSession, d: str) -> DataFrame:
-    c = profiling.value_counts(table(spark, d, "panel_ml"), ["load_series", "load_id"], ["ur_b", "fund_cash_available", "income_class", "population", INCOME])
+    t = table(spark, d, "panel_ml")
+    c = profiling.value_counts(t, ["load_series", "load_id"], [c for c in t.columns if c not in ("load_series", "load_id")])
     return profiling.stability(c, "load_series", "load_id")
 
 

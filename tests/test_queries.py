@@ -39,6 +39,12 @@ def test_all_rows_are_explained_with_default_parameters(spark, monkeypatch):
     assert {r[0] for r in clustered.select("psgc10").collect()} == {r[0] for r in x.select("psgc10").distinct().collect()}
 
 
+@needs_data
+def test_stability_covers_every_column(spark):
+    got = {r[0] for r in e.queries()["p6_stability"](spark, DATA).select("column_name").distinct().collect()}
+    assert got == set(spark.read.parquet(f"{DATA}/panel_ml.parquet").columns) - {"load_series", "load_id"}
+
+
 @needs_data
 def test_entry(spark):
     assert e.entry(spark).limit(5).count() == 5

@@ -94,6 +94,20 @@ def rescale(df: DataFrame, group: list[str], probe: str, measures: list[str], li
     return j.select(*[(F.when(F.col("__med") > limit, F.col(c) / factor).otherwise(F.col(c)).alias(c) if c in measures else F.col(c)) for c in df.columns])
 
 
+def common_scale(df: DataFrame, group: list[str], probe: str, measures: list[str]) -> DataFrame:
+    """All measures of a group divided by the power of a thousand by which its median of ``probe`` lies above the usual group's.
+
+    Unlike ``rescale`` it knows thousands as well as millionths: groups are
+    compared with the median of all groups' medians. Groups below it stay.
+    """
+    x = F.nanvl(F.col(probe), F.lit(None).cast("double"))
+    med = df.filter(x > 0).groupBy(*group).agg(F.percentile(F.log10(x), 0.5).alias("__med"))
+    up = F.greatest(F.round((F.col("__med") - F.col("__usual")) / 3), F.lit(0.0))
+    factor = med.crossJoin(med.agg(F.percentile("__med", 0.5).alias("__usual"))).select(*group, F.pow(F.lit(1000.0), up).alias("__factor"))  # one row of the usual
+    j = df.join(factor, group, "left")
+    return j.select(*[((F.col(c) / F.coalesce("__factor", F.lit(1.0))).alias(c) if c in measures else F.col(c)) for c in df.columns])
+
+
 def record_rows(df: DataFrame, name: str, province: str) -> DataFrame:
     """Rows that hold a record: a name, and neither a total, a title nor a note."""
     return df.filter(F.col(name).isNotNull() & ~is_note(F.col(name)) & (F.length(squeeze(F.coalesce(F.col(province), F.lit("")))) >= 0))

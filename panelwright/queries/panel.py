@@ -151,13 +151,20 @@ def _region_income(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "panel_ml").groupBy("region", "fiscal_year").agg(F.avg(_n("fund_cash_available")).alias("cash"))
 
 
-def ffill_bfill_grid(spark: SparkSession, d: str) -> DataFrame:
-    odd = _region_income(spark, d).filter("fiscal_year % 3 <> 0")
-    grid = timeseries.year_grid(odd.select("region").distinct(), 1992, 2024)
-    g = grid.join(odd, ["region", "fiscal_year"], "left")
+def _filled_grid(x: DataFrame) -> DataFrame:
+    grid = timeseries.year_grid(x.select("region").distinct(), 1992, 2024)
+    g = grid.join(x, ["region", "fiscal_year"], "left")
     return timeseries.fill_gaps(g, "region", "fiscal_year", ["cash"]).select("region", "fiscal_year", F.round("cash", 4).alias("cash"))
 
 
+def ffill_bfill_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _filled_grid(_region_income(spark, d).filter("fiscal_year % 3 <> 0"))
+
+
+def ffill_bfill_grid_all(spark: SparkSession, d: str) -> DataFrame:
+    return _filled_grid(_region_income(spark, d))
+
+
 def rebase_index(spark: SparkSession, d: str) -> DataFrame:
     x = _t(spark, d, "panel_ml").groupBy("region", "fiscal_year").agg(F.avg(_n("nta_dependency")).alias("x"))
     r = timeseries.rebase(x, "region", "fiscal_year", "x", 2018, "deflator")
@@ -248,18 +255,34 @@ def era_rules(spark: SparkSession, d: str) -> DataFrame:
     return h.select("file_id", e.alias("era"))
 
 
-def ordered_pattern_map(spark: SparkSession, d: str) -> DataFrame:
-    c = _t(spark, d, "canonical_columns").filter("length(known_label) > 5")
+def _mapped_headers(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
     rules = c.select(F.lower("known_label").alias("pattern"), F.col("column_name").alias("target"), (-F.length("known_label")).alias("rank"))
     labels = _t(spark, d, "header_block").select(F.explode("header_labels").alias("label")).select(tx.squeeze(F.lower("label")).alias("label"))
     return harmonize.map_labels(labels, rules)
 
 
+def ordered_pattern_map(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped_headers(spark, d, _t(spark, d, "canonical_columns").filter("length(known_label) > 5"))
+
+
+def ordered_pattern_map_all(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped_headers(spark, d, _t(spark, d, "canonical_columns"))
+
+
+def _alias_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    m = _t(spark, d, "psgc_lgu_master")
+    former = m.filter("old_names is not null").select(F.col("match_key_short").alias("key"), F.lower("old_names").alias("alias"))
+    return former, m.select(F.lower("province_name").alias("key"), F.col("match_key_short").alias("alias"))
+
+
 def alias_closure(spark: SparkSession, d: str) -> DataFrame:
-    m = _t(spark, d, "psgc_lgu_master").filter("old_names is not null")
-    e = m.select(F.col("match_key_short").alias("key"), F.lower("old_names").alias("alias"))
-    e = e.unionByName(_t(spark, d, "psgc_lgu_master").select(F.lower("province_name").alias("key"), F.col("match_key_short").alias("alias")).filter("key like '%a'"))
-    return resolve.alias_closure(e, 3)
+    former, members = _alias_edges(spark, d)
+    return resolve.alias_closure(former.unionByName(members.filter("key like '%a'")), 3)
+
+
+def alias_closure_all(spark: SparkSession, d: str) -> DataFrame:
+    former, members = _alias_edges(spark, d)
+    return resolve.alias_closure(former.unionByName(members), 3)
 
 
 def exact_tier_match(spark: SparkSession, d: str) -> DataFrame:
@@ -322,11 +345,21 @@ def mode_per_group(spark: SparkSession, d: str) -> DataFrame:
     return report.mode_of(_t(spark, d, "panel_ml"), ["province"], "income_class")
 
 
+SHARED = ["rpt", "business_tax", "nta_ira", "gps", "economic_services"]
+
+
+def _amounts(s: DataFrame) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("item"), _n(c).alias("v")) for c in SHARED])
+    return s.select(F.explode(cells).alias("c")).select("c.*").filter("v is not null")
+
+
 def share_rank(spark: SparkSession, d: str) -> DataFrame:
-    s = _t(spark, d, "sre_panel")
-    cells = F.array(*[F.struct(F.lit(c).alias("item"), _n(c).alias("v")) for c in ("rpt", "business_tax", "nta_ira", "gps", "economic_services")])
-    long = s.select("fund_type", F.explode(cells).alias("c")).select("c.*").filter("v is not null and v < 1e4")
-    return report.share_and_rank(long, "item", "v", 3)
+    return report.share_and_rank(_amounts(_t(spark, d, "sre_panel")).filter("v < 1e4"), "item", "v", 3)
+
+
+def share_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts of all files, brought to one unit before they are ranked."""
+    return report.share_and_rank(_amounts(harmonize.common_scale(_t(spark, d, "sre_panel"), ["file_id"], INCOME, SHARED)), "item", "v", 3)
 
 
 def overlapping_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -411,10 +444,10 @@ def running_share(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = [
     panel_star_join, tier_dedup, keep_last_dedup, keep_best_by_aggregate, distinct_labels, duplicate_groups, repeated_rows_marked, null_safe_lookup, semi_membership, anti_backfill, coverage_sides, coverage_flags,
-    member_expansion, variant_lookup, ur_target, lag_lead_panel, calendar_lags, log_features, safe_ratios, revenue_hhi, structure_features, unit_rescale, feature_matrix, ffill_bfill_grid, rebase_index,
+    member_expansion, variant_lookup, ur_target, lag_lead_panel, calendar_lags, log_features, safe_ratios, revenue_hhi, structure_features, unit_rescale, feature_matrix, ffill_bfill_grid, ffill_bfill_grid_all, rebase_index,
     loglinear_interpolate, proportional_allocation, section_header_fill, unpivot_snapshots, unpivot_measures, pivot_contingency, collapse_mean_union, union_by_name, hierarchy_codes, code_clean, text_keys,
-    region_canon, year_from_name, metadata_rows, number_parse, era_rules, ordered_pattern_map, alias_closure, exact_tier_match, fuzzy_tier_match, tier_histogram, unmatched_ranking, unmatched_diagnostics,
-    qa_by_year, qa_by_bucket, nonnull_rates, distinct_counts, entity_summary, topk_per_group, mode_per_group, share_rank, overlapping_groups, joined_names, validation_rules, validation_by_year, master_validation,
+    region_canon, year_from_name, metadata_rows, number_parse, era_rules, ordered_pattern_map, ordered_pattern_map_all, alias_closure, alias_closure_all, exact_tier_match, fuzzy_tier_match, tier_histogram, unmatched_ranking, unmatched_diagnostics,
+    qa_by_year, qa_by_bucket, nonnull_rates, distinct_counts, entity_summary, topk_per_group, mode_per_group, share_rank, share_rank_all, overlapping_groups, joined_names, validation_rules, validation_by_year, master_validation,
     fold_sizes, fold_metrics_naive, verdict, stratified_holdout, sample_names, events_json_daily, running_share,
 ]
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 FOLDED = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 FOOTNOTES = r"[*†‡]+\s*$"
-PREFIXES = ("city of", "municipality of", "province of", "bayan ng", "lungsod ng", "mun of", "cty of", "c of", "pgo")
+PREFIXES = ("city of", "municipality of", "province of", "bayan ng", "lungsod ng", "dakbayan sa", "munisipalidad ng", "mun of", "cty of", "c of", "pgo")
 SUFFIXES = ("city", "municipality", "province", "capital")
 SHORT_FORMS = {"sto": "santo", "sta": "santa", "gen": "general", "pres": "president", "gov": "governor", "mt": "mount", "pto": "puerto", "nva": "nueva"}
 
@@ -115,3 +115,24 @@ def is_note(c: Column) -> Column:
         | t.rlike(r"\(continued\)$|^cont\.|\(cont")
         | (F.length(t) > 90)
     )
+
+
+def is_metadata(c: Column) -> Column:
+    """Rows of a statistical table that are no data.
+
+    Beside blank names: the names a reader gives to missing ones, titles of
+    tables, notes and sources, quoted statutes, lines that begin with a
+    footnote's small letter (with or without a digit) and a blank, and prose,
+    which ends with a point or runs over 90 letters.
+    """
+    n = F.trim(F.coalesce(c, F.lit("")))
+    t = F.lower(n)
+    return (
+        (n == "")
+        | t.isin("nan", "none", "notes:")
+        | t.rlike(r"^(table 1\.|note:|sources?:)")
+        | t.rlike(r"republic act|in accordance")
+        | n.rlike(r"^[a-z][0-9]?\s+\S")
+        | n.rlike(r"\.$")
+        | (F.length(n) > 90)
+    )

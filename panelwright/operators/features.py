@@ -9,11 +9,11 @@ from ..functions.numbers import clip, concentration, nan_to_null
 
 
 def spent(parts: list[str], total: str) -> tuple[Column, Column]:
-    """What was spent and where the number comes from: the parts' sum, the total where that is zero, 0 if all are missing."""
+    """What was spent and where the number comes from: the parts' sum where it is positive, else the total; 0 if all are missing."""
     xs = [F.coalesce(nan_to_null(F.col(p)), F.lit(0.0)) for p in parts]
     detail = sum(xs[1:], xs[0])
     top = F.coalesce(nan_to_null(F.col(total)), F.lit(0.0))
-    return F.when(detail != 0, detail).otherwise(top), F.when(detail != 0, "detailed").when(top != 0, "total").otherwise("none")
+    return F.when(detail > 0, detail).otherwise(top), F.when(detail > 0, "detailed").otherwise("total")
 
 
 def unused_ratio(used: Column, available: Column) -> Column:

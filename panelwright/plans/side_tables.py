@@ -34,7 +34,7 @@ def population_tables(rows: DataFrame, years: tuple[int, ...] = CENSUS) -> DataF
     head = rows.join(h, "sheet").filter("row_idx = header_row").select("sheet", "cells")
     cols = harmonize.column_groups(head, years, AREA)
     area = head.select("sheet", F.posexplode("cells").alias("apos", "c")).filter(F.lower(F.coalesce("c", F.lit(""))).contains(AREA)).groupBy("sheet").agg(F.min("apos").alias("apos"))
-    body = rows.join(h, "sheet").filter("row_idx > header_row").withColumn("name", tx.clean(F.get("cells", 0))).filter(~tx.is_note(F.col("name")))
+    body = rows.join(h, "sheet").filter("row_idx > header_row").withColumn("name", tx.clean(F.get("cells", 0))).filter(~tx.is_note(F.col("name")) & ~tx.is_metadata(F.col("name")))
     x = body.join(cols, "sheet").join(area, "sheet", "left")
     x = x.select("sheet", "row_idx", "name", "year", parse_number(F.get("cells", F.col("pos"))).alias("population"), parse_number(F.get("cells", F.col("apos"))).alias("area"))
     return x.filter("population is not null")

@@ -10,33 +10,42 @@ from ..ml import explain, folds, models
 from ..operators import report
 from ..plans import panel as pl
 from ..session import materialize, table
+from . import panel
 
-NUMERIC = ["unused_a", "unused_a_lag1", "unused_a_lag2", "nta_dependency", "nta_dependency_lag1", "log_total_current_operating_income", "log_total_local_sources", "log_population", "own_source_share", "capital_share", "operating_ratio", "revenue_hhi", "income_class_num", "is_election"]
-CATEGORICAL = ["lgu_type", "region", "template_era"]
+NUMERIC = ["ur_b_current", "ur_b_lag1", "ur_b_lag2", "log_nta_ira", "log_total_local_sources", "nta_dependency", "income_class_num", "log_population", "log_land_area_sqkm", "pop_density", "fiscal_year", "election_year", "pi_2018"]
+CATEGORICAL = ["lgu_type", "region"]
+STOP_YEAR = 2019
 
 
 def _input(spark: SparkSession, d: str) -> DataFrame:
-    x = pl.model_input(table(spark, d, "panel_ml")).withColumn("income_class_num", F.col("income_class_num").cast("double")).withColumn("is_election", F.col("is_election").cast("double"))
-    cols = ["row_id", "psgc10", "fiscal_year", "lgu_name", "target", *NUMERIC, *CATEGORICAL]
-    return materialize(x.select(*cols), "model-input")
+    """Rows with a target, with the first poverty estimate of their unit beside the features of the matrix."""
+    _, wide = pl.poverty_forms(panel.coded_poverty(spark, d), "psa_id")
+    x = pl.model_input(table(spark, d, "panel_ml")).join(wide.select("psgc10", "pi_2018"), "psgc10", "left")
+    return materialize(x.select("row_id", "psgc10", "lgu_name", "target", *[F.col(c).cast("double").alias(c) if c != "fiscal_year" else F.col(c) for c in NUMERIC], *CATEGORICAL), "model-input")
 
 
 def _folded(x: DataFrame) -> DataFrame:
     return folds.assign_folds(x, folds.fold_table(x.sparkSession), "fiscal_year")
 
 
+def _models() -> dict:
+    return {"ridge": models.ridge_for("target"), "forest": lambda n, c, _t: models.forest(n, c, "target"), "boosted": lambda n, c, _t: models.boosted(n, c, "target")}
+
+
 def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge, forest and boosted trees with their default parameters beside the three baselines, over all folds."""
     f = _folded(_input(spark, d))
-    pred = models.evaluate(f, "target", NUMERIC, CATEGORICAL, {"ridge": models.ridge_for("target"), "forest": lambda n, c, _t: models.forest(n, c, "target", trees=20, depth=6)})
-    base = folds.baseline_predictions(f, "target", "unused_a")
+    pred = models.evaluate(f, "target", NUMERIC, CATEGORICAL, _models())
+    base = folds.baseline_predictions(f, "target", "ur_b_current")
     return folds.against_naive(folds.scores(pred.unionByName(base.select("fold", "y_true", "y_pred", "model"))))
 
 
 def _fitted(x: DataFrame):  # noqa: ANN202
-    train = x.filter("fiscal_year <= 2019")
+    """The final model: fitted up to the last year before the holdout, whose rows tell when to stop adding trees."""
+    train = x.filter(F.col("fiscal_year") <= STOP_YEAR)
     nums = models.usable(train, NUMERIC)
-    tr = models.as_features(train, nums, CATEGORICAL, True)
-    return nums, models.boosted(nums, CATEGORICAL, "target").fit(tr)
+    tr = models.as_features(train, nums, CATEGORICAL, True).withColumn("stop", F.col("fiscal_year") == STOP_YEAR)
+    return nums, models.boosted(nums, CATEGORICAL, "target", validation="stop").fit(tr)
 
 
 def _contributions(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
@@ -77,11 +86,11 @@ def category_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spatial_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge fitted without a fifth of each region's entities and scored on them."""
+    """The models fitted without a fifth of each region's entities and scored on them."""
     x = _input(spark, d)
     held = folds.stratified_holdout(x.select("psgc10", "region").distinct(), "psgc10", "region").select("psgc10", "held_out")
     f = x.join(held, "psgc10").withColumn("fold", F.lit("S")).withColumn("part", F.when(F.col("held_out"), "test").otherwise("train"))
-    pred = models.evaluate(f, "target", NUMERIC, CATEGORICAL, {"ridge": models.ridge_for("target")})
+    pred = models.evaluate(f, "target", NUMERIC, CATEGORICAL, _models())
     return folds.scores(pred)
 
 

@@ -20,7 +20,6 @@ INCOME = "total_current_operating_income"
 TYPED = ["region", "province", "lgu_name", "lgu_type"]
 CENSUS = (1995, 2000, 2007, 2010, 2015, 2020)
 BUCKETS = [("1992-2000", 1992, 2000), ("2001-2008", 2001, 2008), ("2009-2024", 2009, 2024), ("2010s", 2010, 2019), ("all", 1992, 2024)]
-MONEY = [INCOME, "total_local_sources", "total_external_sources", "nta_ira"]
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,9 +31,22 @@ def _n(c: str) -> F.Column:
 
 
 # --- joins and duplicates
+def coded_poverty(spark: SparkSession, d: str) -> DataFrame:
+    """The poverty rows with the code that the exact tiers find; rows for parts of a unit come together in one."""
+    psa = _t(spark, d, "psa_panel")
+    bare = psa.withColumn("unit", F.regexp_replace("lgu_name", r"(?i)[-–,]?\s*\(?\bdist(rict)?\.?\s*[ivx0-9]+\)?\s*$", ""))
+    p = resolve.prepare(bare, "unit", "province", "lgu_type")
+    hit = p.join(resolve.exact_tiers(p, resolve.catalog(_t(spark, d, "psgc_lgu_master"))), "rid").select("unit", "province", "lgu_type", "psgc10")
+    coded = null_safe_join(bare, hit, ["unit", "province", "lgu_type"])
+    return pl.collapse_parts(coded, F.coalesce(F.col("unit") != F.col("lgu_name"), F.lit(False)))
+
+
 def panel_star_join(spark: SparkSession, d: str) -> DataFrame:
-    s = pl.star(_t(spark, d, "sre_panel_with_psgc"), _t(spark, d, "psgc_lgu_master"), _t(spark, d, "population_lgu_annual"))
-    return s.select("psgc10", "fiscal_year", "xwalk_id", "tier", "level", "province_name", F.round(_n("total_expenditures"), 4).alias("total_expenditures"), F.round(_n("population"), 4).alias("population"), "pop_source")
+    s = pl.star(_t(spark, d, "sre_panel_with_psgc"), _t(spark, d, "psgc_lgu_master"), _t(spark, d, "population_lgu_annual"), coded_poverty(spark, d))
+    return s.select(
+        "psgc10", "fiscal_year", "xwalk_id", "tier", "lgu_name", "lgu_type", "province", "region", "income_class", "pop_2024", F.round(_n("total_expenditures"), 4).alias("total_expenditures"), F.round(_n("population"), 4).alias("population"), "pop_source",
+        *[F.round(f"poverty_{f}", 6).alias(f"poverty_{f}") for f in pl.POVERTY_FIELDS], *[F.round(f"{f}_{y}", 6).alias(f"{f}_{y}") for f in pl.POVERTY_FIELDS for y in pl.POVERTY_YEARS], F.col("in_sre").cast("int").alias("in_sre"), F.col("in_psa").cast("int").alias("in_psa"),
+    )
 
 
 def tier_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -75,9 +87,10 @@ def semi_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anti_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Units and years without a population of their own, filled with the master's count."""
     m = _t(spark, d, "psgc_lgu_master").select("psgc10", "pop_2024")
-    have = _t(spark, d, "population_lgu_annual").select(pl.code10(F.col("psgc10")).alias("psgc10"))
-    return timeseries.year_grid(m.join(have, "psgc10", "left_anti"), 2022, 2024)
+    have = _t(spark, d, "population_lgu_annual").filter(_n("population").isNotNull()).select(pl.code10(F.col("psgc10")).alias("psgc10"), "fiscal_year")
+    return timeseries.year_grid(m, 1992, 2024).join(have, ["psgc10", "fiscal_year"], "left_anti")
 
 
 def coverage_sides(spark: SparkSession, d: str) -> DataFrame:
@@ -106,12 +119,13 @@ def variant_lookup(spark: SparkSession, d: str) -> DataFrame:
 # --- features
 def ur_target(spark: SparkSession, d: str) -> DataFrame:
     p = pl.with_targets(_t(spark, d, "panel_ml"))
-    return p.select("row_id", F.round("spent_used", 4).alias("spent_used"), "spent_from", F.round("unused_a", 6).alias("unused_a"), F.round("unused_b", 6).alias("unused_b"))
+    return p.select("row_id", F.round("spent_used", 4).alias("spent_used"), "spent_source", F.round("ur_a", 6).alias("ur_a"), F.round("ur_b", 6).alias("ur_b"))
 
 
 def lag_lead_panel(spark: SparkSession, d: str) -> DataFrame:
-    p = timeseries.lags_and_leads(pl.latest_rows(_t(spark, d, "panel_ml")), "psgc10", "fiscal_year", {"nta_dependency": [1, 2]}, {"nta_dependency": [1]})
-    return p.select("row_id", *[_n(c).alias(c) for c in ("nta_dependency_lag1", "nta_dependency_lag2", "nta_dependency_lead1")])
+    cols = ["ur_a", "ur_b", "nta_ira", "fund_cash_balance_end", INCOME]
+    p = timeseries.lags_and_leads(pl.latest_rows(_t(spark, d, "panel_ml")), "psgc10", "fiscal_year", {c: [1, 2] for c in cols}, {"ur_a": [1], "ur_b": [1]})
+    return p.select("row_id", *[_n(f"{c}_lag{k}").alias(f"{c}_lag{k}") for c in cols for k in (1, 2)], _n("ur_a_lead1").alias("ur_a_lead1"), _n("ur_b_lead1").alias("ur_b_lead1"))
 
 
 def calendar_lags(spark: SparkSession, d: str) -> DataFrame:
@@ -120,15 +134,18 @@ def calendar_lags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_features(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "panel_ml").select("row_id", *[F.round(ft.log_feature(c), 6).alias(f"log_{c}") for c in MONEY])
+    return _t(spark, d, "panel_ml").select("row_id", *[F.round(ft.log_feature(c), 6).alias(f"log_{c}") for c in pl.LOGGED])
 
 
 def safe_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "panel_ml").select("row_id", F.round(ft.ratio("total_local_sources", INCOME), 6).alias("own_share"), F.round(ft.ratio("total_current_operating_exp", INCOME), 6).alias("operating_ratio"), F.round(ft.ratio("population", "land_area_sqkm"), 4).alias("density"))
+    parts = {"nta_dependency": ("nta_ira", INCOME), "local_share": ("total_local_sources", INCOME), "external_share": ("total_external_sources", INCOME), "fund_balance_share": ("fund_cash_balance_end", INCOME), "capex_share_avail": ("total_capital_investment_exp", "fund_cash_available"), "pop_density": ("population", "land_area_sqkm")}
+    return _t(spark, d, "panel_ml").select("row_id", *[F.round(ft.ratio(a, b), 6).alias(c) for c, (a, b) in parts.items()])
 
 
 def revenue_hhi(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "panel_ml").select("row_id", F.round(ft.hhi(["total_local_sources", "total_external_sources"]), 6).alias("hhi"))
+    """The components of local revenue are in the fiscal rows as filed."""
+    s = _t(spark, d, "sre_panel")
+    return s.select("row_id", F.round(ft.hhi([c for c in pl.COMPONENTS if c in s.columns]), 6).alias("revenue_hhi"))
 
 
 def structure_features(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +160,9 @@ def unit_rescale(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     f = pl.feature_matrix(_t(spark, d, "panel_ml"))
-    return f.select("row_id", "psgc10", "fiscal_year", F.round("unused_a_lead1", 6).alias("unused_a_lead1"), F.round(_n("spent_used_lag1"), 4).alias("spent_used_lag1"), F.round("log_population", 6).alias("log_population"), F.round("revenue_hhi", 6).alias("revenue_hhi"), "is_election")
+    made = ["spent_used", "ur_a", "ur_b", "target_ur_a", "target_ur_b", "ur_a_current", "ur_b_current"]
+    made += [f"{c}_lag{k}" for c in pl.LAGGED for k in (1, 2)] + [f"log_{c}" for c in pl.LOGGED] + ["nta_dependency", "local_share", "external_share", "fund_balance_share", "capex_share_avail", "pop_density"]
+    return f.select("row_id", "psgc10", "fiscal_year", "spent_source", "income_class_num", "election_year", *[F.round(_n(c), 4).alias(c) for c in made])
 
 
 # --- time series
@@ -151,18 +170,10 @@ def _region_income(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "panel_ml").groupBy("region", "fiscal_year").agg(F.avg(_n("fund_cash_available")).alias("cash"))
 
 
-def _filled_grid(x: DataFrame) -> DataFrame:
-    grid = timeseries.year_grid(x.select("region").distinct(), 1992, 2024)
-    g = grid.join(x, ["region", "fiscal_year"], "left")
-    return timeseries.fill_gaps(g, "region", "fiscal_year", ["cash"]).select("region", "fiscal_year", F.round("cash", 4).alias("cash"))
-
-
 def ffill_bfill_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _filled_grid(_region_income(spark, d).filter("fiscal_year % 3 <> 0"))
-
-
-def ffill_bfill_grid_all(spark: SparkSession, d: str) -> DataFrame:
-    return _filled_grid(_region_income(spark, d))
+    x = _region_income(spark, d)
+    g = timeseries.year_grid(x.select("region").distinct(), 1992, 2024).join(x, ["region", "fiscal_year"], "left")
+    return timeseries.fill_gaps(g, "region", "fiscal_year", ["cash"]).select("region", "fiscal_year", F.round("cash", 4).alias("cash"))
 
 
 def rebase_index(spark: SparkSession, d: str) -> DataFrame:
@@ -193,8 +204,8 @@ def section_header_fill(spark: SparkSession, d: str) -> DataFrame:
 
 # --- shapes
 def unpivot_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    long = reshape.snapshots_to_long(_t(spark, d, "psa_panel"), ["psa_id"], ["pi", "cv", "se"], [2018, 2019, 2021, 2023])
-    return long.select("psa_id", "fiscal_year", *[_n(c).alias(c) for c in ("pi", "cv", "se")])
+    long = reshape.snapshots_to_long(_t(spark, d, "psa_panel"), ["psa_id"], list(pl.POVERTY_FIELDS), [2018, 2019, 2021, 2023])
+    return long.select("psa_id", "fiscal_year", *[_n(c).alias(c) for c in pl.POVERTY_FIELDS])
 
 
 def unpivot_measures(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +252,7 @@ def year_from_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "sre_panel").groupBy(tx.is_note(F.col("lgu_name")).cast("int").alias("is_note")).agg(F.count(F.lit(1)).alias("n"))
+    return _t(spark, d, "sre_panel").groupBy(tx.is_metadata(F.col("lgu_name")).cast("int").alias("is_metadata")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def number_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -255,34 +266,16 @@ def era_rules(spark: SparkSession, d: str) -> DataFrame:
     return h.select("file_id", e.alias("era"))
 
 
-def _mapped_headers(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
-    rules = c.select(F.lower("known_label").alias("pattern"), F.col("column_name").alias("target"), (-F.length("known_label")).alias("rank"))
+def ordered_pattern_map(spark: SparkSession, d: str) -> DataFrame:
+    rules = _t(spark, d, "canonical_columns").select(F.lower("known_label").alias("pattern"), F.col("column_name").alias("target"), (-F.length("known_label")).alias("rank"))
     labels = _t(spark, d, "header_block").select(F.explode("header_labels").alias("label")).select(tx.squeeze(F.lower("label")).alias("label"))
     return harmonize.map_labels(labels, rules)
 
 
-def ordered_pattern_map(spark: SparkSession, d: str) -> DataFrame:
-    return _mapped_headers(spark, d, _t(spark, d, "canonical_columns").filter("length(known_label) > 5"))
-
-
-def ordered_pattern_map_all(spark: SparkSession, d: str) -> DataFrame:
-    return _mapped_headers(spark, d, _t(spark, d, "canonical_columns"))
-
-
-def _alias_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def alias_closure(spark: SparkSession, d: str) -> DataFrame:
     m = _t(spark, d, "psgc_lgu_master")
     former = m.filter("old_names is not null").select(F.col("match_key_short").alias("key"), F.lower("old_names").alias("alias"))
-    return former, m.select(F.lower("province_name").alias("key"), F.col("match_key_short").alias("alias"))
-
-
-def alias_closure(spark: SparkSession, d: str) -> DataFrame:
-    former, members = _alias_edges(spark, d)
-    return resolve.alias_closure(former.unionByName(members.filter("key like '%a'")), 3)
-
-
-def alias_closure_all(spark: SparkSession, d: str) -> DataFrame:
-    former, members = _alias_edges(spark, d)
-    return resolve.alias_closure(former.unionByName(members), 3)
+    return resolve.alias_closure(former.unionByName(m.select(F.lower("province_name").alias("key"), F.col("match_key_short").alias("alias"))), 3)
 
 
 def exact_tier_match(spark: SparkSession, d: str) -> DataFrame:
@@ -292,11 +285,18 @@ def exact_tier_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_tier_match(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.crosswalk(_t(spark, d, "sre_panel"), _t(spark, d, "psgc_lgu_master"))
+    m = _t(spark, d, "psgc_lgu_master")
+    return resolve.crosswalk(_t(spark, d, "sre_panel"), m, name_aliases=resolve.former_names(m))
 
 
 def tier_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "sre_panel_with_psgc").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    """How many typed tuples, and how many rows of them, each exact tier of the resolver finds; 0 for the rest."""
+    s = _t(spark, d, "sre_panel")
+    p = resolve.prepare(s, "lgu_name", "province", "lgu_type")
+    t = resolve.exact_tiers(p, resolve.catalog(_t(spark, d, "psgc_lgu_master")))
+    walk = p.join(t, "rid", "left").select("lgu_name", "province", "lgu_type", F.coalesce("tier", F.lit(0)).alias("tier"))
+    rows = null_safe_join(s.groupBy("lgu_name", "province", "lgu_type").agg(F.count(F.lit(1)).alias("n")), walk, ["lgu_name", "province", "lgu_type"])
+    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n_tuples"), F.sum("n").alias("n_rows"))
 
 
 def unmatched_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -354,10 +354,6 @@ def _amounts(s: DataFrame) -> DataFrame:
 
 
 def share_rank(spark: SparkSession, d: str) -> DataFrame:
-    return report.share_and_rank(_amounts(_t(spark, d, "sre_panel")).filter("v < 1e4"), "item", "v", 3)
-
-
-def share_rank_all(spark: SparkSession, d: str) -> DataFrame:
     """Amounts of all files, brought to one unit before they are ranked."""
     return report.share_and_rank(_amounts(harmonize.common_scale(_t(spark, d, "sre_panel"), ["file_id"], INCOME, SHARED)), "item", "v", 3)
 
@@ -399,8 +395,8 @@ def master_validation(spark: SparkSession, d: str) -> DataFrame:
 # --- folds
 def _folded(spark: SparkSession, d: str) -> DataFrame:
     x = pl.with_targets(pl.latest_rows(_t(spark, d, "panel_ml")))
-    x = timeseries.lags_and_leads(x, "psgc10", "fiscal_year", {}, {"unused_a": [1]}).filter("unused_a_lead1 is not null")
-    return fd.assign_folds(x.select("row_id", "psgc10", "fiscal_year", "unused_a", F.col("unused_a_lead1").alias("target")), fd.fold_table(spark), "fiscal_year")
+    x = timeseries.lags_and_leads(x, "psgc10", "fiscal_year", {}, {"ur_b": [1]}).filter("ur_b_lead1 is not null")
+    return fd.assign_folds(x.select("row_id", "psgc10", "fiscal_year", "ur_b", F.col("ur_b_lead1").alias("target")), fd.fold_table(spark), "fiscal_year")
 
 
 def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -408,7 +404,7 @@ def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return fd.scores(fd.baseline_predictions(_folded(spark, d), "target", "unused_a"))
+    return fd.scores(fd.baseline_predictions(_folded(spark, d), "target", "ur_b"))
 
 
 def fold_metrics_naive(spark: SparkSession, d: str) -> DataFrame:
@@ -444,10 +440,10 @@ def running_share(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = [
     panel_star_join, tier_dedup, keep_last_dedup, keep_best_by_aggregate, distinct_labels, duplicate_groups, repeated_rows_marked, null_safe_lookup, semi_membership, anti_backfill, coverage_sides, coverage_flags,
-    member_expansion, variant_lookup, ur_target, lag_lead_panel, calendar_lags, log_features, safe_ratios, revenue_hhi, structure_features, unit_rescale, feature_matrix, ffill_bfill_grid, ffill_bfill_grid_all, rebase_index,
+    member_expansion, variant_lookup, ur_target, lag_lead_panel, calendar_lags, log_features, safe_ratios, revenue_hhi, structure_features, unit_rescale, feature_matrix, ffill_bfill_grid, rebase_index,
     loglinear_interpolate, proportional_allocation, section_header_fill, unpivot_snapshots, unpivot_measures, pivot_contingency, collapse_mean_union, union_by_name, hierarchy_codes, code_clean, text_keys,
-    region_canon, year_from_name, metadata_rows, number_parse, era_rules, ordered_pattern_map, ordered_pattern_map_all, alias_closure, alias_closure_all, exact_tier_match, fuzzy_tier_match, tier_histogram, unmatched_ranking, unmatched_diagnostics,
-    qa_by_year, qa_by_bucket, nonnull_rates, distinct_counts, entity_summary, topk_per_group, mode_per_group, share_rank, share_rank_all, overlapping_groups, joined_names, validation_rules, validation_by_year, master_validation,
+    region_canon, year_from_name, metadata_rows, number_parse, era_rules, ordered_pattern_map, alias_closure, exact_tier_match, fuzzy_tier_match, tier_histogram, unmatched_ranking, unmatched_diagnostics,
+    qa_by_year, qa_by_bucket, nonnull_rates, distinct_counts, entity_summary, topk_per_group, mode_per_group, share_rank, overlapping_groups, joined_names, validation_rules, validation_by_year, master_validation,
     fold_sizes, fold_metrics_naive, verdict, stratified_holdout, sample_names, events_json_daily, running_share,
 ]
 

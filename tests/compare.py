@@ -59,7 +59,7 @@ if __name__ == "__main__":
 
     from panelwright.session import build_session
 
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="10g", spark__ui__enabled="false")
+    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="10g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     d, names = sys.argv[1], sys.argv[2:]
     qs, sql, con, bad = e.queries(), e.oracle_sql(), connect(sys.argv[1]), 0

@@ -35,7 +35,7 @@ def test_all_rows_are_explained_with_default_parameters(spark, monkeypatch):
     spy(models.explain, "contributions", lambda a, k: seen.update(rows=a[0].count()))
     clustered = models.entity_clusters(spark, DATA)
     x = models._input(spark, DATA)
-    assert seen == {"boosted": {}, "clusters": {}, "rows": x.count()}
+    assert seen == {"boosted": {"validation": "stop"}, "clusters": {}, "rows": x.count()}
     assert {r[0] for r in clustered.select("psgc10").collect()} == {r[0] for r in x.select("psgc10").distinct().collect()}
 
 
@@ -47,14 +47,14 @@ def test_stability_covers_every_column(spark):
 
 @needs_data
 def test_whole_alias_closure_reaches_the_units_of_every_province(spark):
-    got = {(r["key"], r["alias"]) for r in e.queries()["alias_closure_all"](spark, DATA).filter("depth <= 1").collect()}
+    got = {(r["key"], r["alias"]) for r in e.queries()["alias_closure"](spark, DATA).filter("depth <= 1").collect()}
     m = spark.read.parquet(f"{DATA}/psgc_lgu_master.parquet").filter("province_name is not null and match_key_short is not null")
     assert {(r["province_name"].lower(), r["match_key_short"]) for r in m.collect()} <= got
 
 
 @needs_data
 def test_whole_grid_keeps_every_real_average(spark):
-    got = {(r["region"], r["fiscal_year"]): r["cash"] for r in e.queries()["ffill_bfill_grid_all"](spark, DATA).collect()}
+    got = {(r["region"], r["fiscal_year"]): r["cash"] for r in e.queries()["ffill_bfill_grid"](spark, DATA).collect()}
     p = spark.read.parquet(f"{DATA}/panel_ml.parquet").filter("not isnan(fund_cash_available) and region is not null")
     real = p.groupBy("region", "fiscal_year").avg("fund_cash_available").filter("fiscal_year between 1992 and 2024").collect()
     assert all(got[r[0], r[1]] == pytest.approx(r[2], abs=1e-3) for r in real if r[2] is not None)
@@ -62,7 +62,7 @@ def test_whole_grid_keeps_every_real_average(spark):
 
 @needs_data
 def test_whole_pattern_map_knows_short_headers(spark):
-    got = {r["label"] for r in e.queries()["ordered_pattern_map_all"](spark, DATA).collect()}
+    got = {r["label"] for r in e.queries()["ordered_pattern_map"](spark, DATA).collect()}
     known = {r[0].lower() for r in spark.read.parquet(f"{DATA}/canonical_columns.parquet").select("known_label").collect()}
     seen = {" ".join(x.lower().split()) for r in spark.read.parquet(f"{DATA}/header_block.parquet").select("header_labels").collect() for x in r[0] or [] if x}
     assert {x for x in known & seen if len(x) <= 5} and known & seen <= got
@@ -71,7 +71,7 @@ def test_whole_pattern_map_knows_short_headers(spark):
 def test_amounts_of_all_files_are_ranked_in_one_unit(spark, tmp_path):
     rows = [(f, 20.0 * u * k, *[v * u * k for v in (1.0, 2.0, 9.0, 4.0, 3.0)]) for f, u in enumerate((1.0, 1.0, 1.0, 1e3, 1e6)) for k in (1, 2, 3)]
     spark.createDataFrame(rows, ["file_id", panel.INCOME, *panel.SHARED]).write.parquet(str(tmp_path / "sre_panel.parquet"))
-    got = {r["item"]: (r["mean_abs"], r["rank"]) for r in panel.share_rank_all(spark, str(tmp_path)).collect()}
+    got = {r["item"]: (r["mean_abs"], r["rank"]) for r in panel.share_rank(spark, str(tmp_path)).collect()}
     assert got == {"nta_ira": (18.0, 1), "gps": (8.0, 2), "economic_services": (6.0, 3), "business_tax": (4.0, 4), "rpt": (2.0, 5)}
 
 

@@ -11,6 +11,8 @@ Correspondences are then chosen file by file, one to one, best scores first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,13 +98,26 @@ def _spelling_edges(cols: DataFrame) -> DataFrame:
     return k.join(b, (k["sorted"] == b["s2"]) & (k["key"] != b["b"])).select(F.col("key").alias("a"), "b", F.lit(4.0).alias("w"))
 
 
-def flood(cols: DataFrame, canonical: DataFrame, rounds: int = 8, settled: float = 0.02, flow: float = 0.6, rival: float = 0.7) -> DataFrame:
+def flood(cols: DataFrame, canonical: DataFrame, settled: float = 0.02, flow: float = 0.45, rival: float = 0.45) -> DataFrame:
     """Settled scores ``(key, column_name, s)`` of label pairs.
 
+    A round sets each score to its start, plus ``flow`` times the mean of what
+    its edges bring, less ``rival`` times the mean over files of the best score
+    that another label of the file has for the column, kept within [0, 1].
+    Means and maxima move by no more than the scores they are made of, so two
+    score tables come nearer to each other by ``flow + rival`` < 1 in a round:
+    there is one fixed point, and rounds follow until no score moves by
+    ``settled``. Pairs that edges add on the way stay, also at 0, so they meet
+    their rivals in every round; what an edge brings counts from a tenth of
+    ``settled`` on. How many rounds that may take follows from the numbers;
+    more are an error.
+
     Files that hold the same set of labels count once with their number. Each
     round's scores, one row per plausible pair of label and column, are written
     to the shared folder, so the plan does not grow with the rounds.
     """
+    if not 0 < flow + rival < 1:
+        raise ValueError("flow + rival must lie between 0 and 1, else scores need not settle")
     start = materialize(_start(cols, canonical), "drift-start")
     e = _successions(cols).unionByName(_spelling_edges(cols))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
@@ -111,23 +126,25 @@ def flood(cols: DataFrame, canonical: DataFrame, rounds: int = 8, settled: float
     sets = sets.groupBy("keys").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("keys").alias("fs"), "n", F.explode("keys").alias("key"))
     sets = materialize(sets, "drift-sets")
     s = start.select("key", "column_name", F.col("s0").alias("s"))
-    for _ in range(rounds):
-        push = edges.join(s, edges["a"] == s["key"]).groupBy(F.col("b").alias("key"), "column_name").agg(F.sum(F.col("p") * F.col("s")).alias("push"))
-        in_file = sets.join(s.filter("s > 0.05"), "key")
-        w = W.partitionBy("fs", "column_name").orderBy(F.desc("s"), "key")
-        top = in_file.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("fs", "column_name").agg(F.max(F.struct("s", "key")).alias("t1"), F.min(F.struct("s", "key")).alias("t2"), F.count(F.lit(1)).alias("c"))
-        other = F.when(F.col("t1.key") != F.col("key"), F.col("t1.s")).when(F.col("c") > 1, F.col("t2.s")).otherwise(F.lit(0.0))
-        press = in_file.select("fs", "n", "key", "column_name").join(top, ["fs", "column_name"]).groupBy("key", "column_name").agg((F.sum(other * F.col("n")) / F.sum("n")).alias("press"))
-        nxt = start.select("key", "column_name", "s0").join(push, ["key", "column_name"], "full").join(press, ["key", "column_name"], "left").join(s, ["key", "column_name"], "left")
-        base = F.coalesce("s0", F.lit(0.0))
-        val = F.when(base == 1.0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.99), base + flow * F.coalesce("push", F.lit(0.0)) - rival * F.coalesce("press", F.lit(0.0)))))
-        nxt = nxt.select("key", "column_name", (0.5 * val + 0.5 * F.coalesce("s", F.lit(0.0))).alias("s"), F.abs(val - F.coalesce("s", F.lit(0.0))).alias("d")).filter("s > 0.01")
-        nxt = materialize(nxt, "drift-scores")
-        moved = nxt.agg(F.max("d")).first()[0] or 0.0
+    most = math.ceil(math.log(settled / 2) / math.log(flow + rival)) + 1
+    for _ in range(most):
+        push = edges.join(s, edges["a"] == s["key"]).select(F.col("b").alias("key"), "column_name", (flow * F.col("p") * F.col("s")).alias("d")).filter(F.col("d") > settled / 10)
+        w = W.partitionBy("fs", "column_name")
+        best = sets.join(s, "key").withColumn("t", F.max(F.struct("s", "key")).over(w))
+        best = best.withColumn("u", F.max(F.when(F.col("key") != F.col("t.key"), F.col("s"))).over(w))
+        other = F.when(F.col("t.key") != F.col("key"), F.col("t.s")).otherwise(F.coalesce("u", F.lit(0.0)))
+        press = best.select("key", "column_name", (other * F.col("n")).alias("o"), "n")
+        # starts, flows and rivals of a pair meet in one aggregate
+        parts = start.unionByName(push, True).unionByName(press, True).unionByName(s.withColumnRenamed("s", "was"), True)
+        g = parts.groupBy("key", "column_name").agg(F.coalesce(F.max("s0"), F.lit(0.0)).alias("s0"), F.sum("d").alias("push"), (F.sum("o") / F.sum("n")).alias("press"), F.coalesce(F.max("was"), F.lit(0.0)).alias("was"))
+        val = F.col("s0") + F.coalesce("push", F.lit(0.0)) - rival * F.coalesce("press", F.lit(0.0))
+        val = F.when(F.col("s0") == 1.0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.99), val)))
+        nxt = materialize(g.select("key", "column_name", val.alias("s"), F.abs(val - F.col("was")).alias("moved")), "drift-scores")
+        moved = nxt.agg(F.max("moved")).first()[0] or 0.0
         s = nxt.select("key", "column_name", "s")
         if moved < settled:
-            break
-    return s
+            return s
+    raise RuntimeError(f"scores still move by {moved} after {most} rounds")
 
 
 def correspondences(headers: DataFrame, report: DataFrame, canonical: DataFrame, least: float = 0.22) -> DataFrame:
@@ -139,18 +156,13 @@ def correspondences(headers: DataFrame, report: DataFrame, canonical: DataFrame,
     """
     cols = materialize(file_columns(headers, report), "drift-columns")
     s = flood(cols, canonical)
-    cand = cols.join(s.filter(F.col("s") >= least), "key").select("file_id", "pos", "column_name", "s")
-    cand = cand.repartition("file_id")
-    chosen = None
-    for _ in range(3):
-        by_col = W.partitionBy("file_id", "column_name").orderBy(F.desc("s"), "pos")
-        by_pos = W.partitionBy("file_id", "pos").orderBy(F.desc("s"), "column_name")
-        r = cand.withColumn("a", F.row_number().over(by_col)).withColumn("b", F.row_number().over(by_pos))
-        r = r.withColumn("hit", (F.col("a") == 1) & (F.col("b") == 1))
-        won = r.filter("hit").select("file_id", "pos", "column_name", "s")
-        chosen = won if chosen is None else chosen.unionByName(won)
-        r = r.withColumn("ct", F.max("hit").over(W.partitionBy("file_id", "column_name"))).withColumn("pt", F.max("hit").over(W.partitionBy("file_id", "pos")))
-        cand = r.filter("not ct and not pt").select("file_id", "pos", "column_name", "s")
+    cand = cols.join(s.filter(F.col("s") >= least), "key").select("file_id", F.struct(F.negative("s").alias("m"), "pos", "column_name").alias("z"))
+    # best scores first, until no candidate of the file is left whose column and position are both free
+    none = F.struct(F.lit(None).cast("double").alias("m"), F.lit(-1).alias("pos"), F.lit("").alias("column_name"))
+    taken = lambda acc, z: F.exists(acc, lambda y: (y["pos"] == z["pos"]) | (y["column_name"] == z["column_name"]))
+    picked = F.aggregate(F.array_sort("zs"), F.array(none), lambda acc, z: F.when(taken(acc, z), acc).otherwise(F.array_append(acc, z)))
+    chosen = cand.groupBy("file_id").agg(F.collect_list("z").alias("zs")).select("file_id", F.explode(picked).alias("z")).filter("z.pos >= 0")
+    chosen = chosen.select("file_id", "z.pos", "z.column_name", F.negative("z.m").alias("s"))
     out = cols.join(chosen, ["file_id", "pos"]).select("file_id", "stream_id", "fiscal_year", "prev_file", "pos", "label", "norm", "type", "column_name", "s")
     return materialize(out, "drift-match")
 

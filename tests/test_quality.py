@@ -196,3 +196,24 @@ def test_schema_changes(spark):
 def test_schema_drift_of_empty_table(spark):
     h, r, c = drift_fixture(spark)
     assert schema_drift.correspondences(h.limit(0), r, c).count() == 0
+
+
+def test_flooding_settles_or_says_so(spark):
+    h, r, c = drift_fixture(spark)
+    cols = schema_drift.file_columns(h, r)
+    loose = {(x["key"], x["column_name"]): x["s"] for x in schema_drift.flood(cols, c, settled=0.02).collect()}
+    tight = {(x["key"], x["column_name"]): x["s"] for x in schema_drift.flood(cols, c, settled=0.0005).collect()}
+    # a contraction by 0.9 leaves at most settled * 0.9 / 0.1 to the fixed point
+    assert all(abs(loose.get(k, 0.0) - s) <= 0.2 for k, s in tight.items())
+    with pytest.raises(ValueError):
+        schema_drift.flood(cols, c, flow=0.6, rival=0.7)
+
+
+def test_columns_are_chosen_until_none_is_left(spark):
+    # each label's best column is the next one's, so mutual best pairs appear one after the other
+    labels = [f"Total Item {i}" for i in range(9)]
+    h = spark.createDataFrame([(1, 1, labels, ["double"] * 9)], "file_id long, stream_id long, header_labels array<string>, column_types array<string>")
+    r = spark.createDataFrame([(1, 2000)], "file_id long, fiscal_year int")
+    c = spark.createDataFrame([(f"c{i}", f"Total Item {i}") for i in range(9)], "column_name string, known_label string")
+    got = {(x["pos"], x["column_name"]) for x in schema_drift.correspondences(h, r, c).collect()}
+    assert got == {(i, f"c{i}") for i in range(9)}

@@ -28,7 +28,7 @@ SINGLE = ("cp1252", "latin-1", "iso8859-15", "cp1250", "cp1251", "mac_roman", "c
 DOUBLE = ("gbk", "big5", "shift_jis", "euc_kr")
 #: Encodings other than UTF-8 that a text may have been meant in.
 MEANT = ("cp1252", "mac_roman")
-DROP, HINTED, LAYERS = 1.2, 0.9, 4
+DROP, HINTED, REMEMBERED = 1.2, 0.9, 48
 
 #: Characters that are common in texts of Western languages (fixed values).
 COMMON_LOWER = set("áéíóúñüãõçâêôàèìòùäöëïîû")
@@ -173,15 +173,22 @@ def _candidates(run: str) -> Iterator[tuple[str, str, str]]:
 _TABLES = _tables()
 
 
-@lru_cache(maxsize=200_000)
 def repair_run(left: str, run: str, right: str, hint: str = "") -> tuple[str, tuple[str, ...]]:
     """The repaired run and the layers taken off, outermost first; the run itself if nothing lowers its cost enough.
 
     ``hint`` is the round trip that the rest of the text calls for; it is
-    favoured, and a smaller drop of the cost is enough for it.
+    favoured, and a smaller drop of the cost is enough for it. Every layer
+    lowers the cost by ``DROP - HINTED`` at least and no cost is negative, so
+    layers are taken off until none is left, however deep they lie. Only runs
+    of up to ``REMEMBERED`` characters are remembered by a worker, so that long
+    ones, which do not repeat, take no memory.
     """
+    return (_remembered if len(run) <= REMEMBERED else _repair_run)(left, run, right, hint)
+
+
+def _repair_run(left: str, run: str, right: str, hint: str) -> tuple[str, tuple[str, ...]]:
     layers: list[str] = []
-    for _ in range(LAYERS):
+    while _RUN.search(run):
         now = cost(left, run, right)
         best, how, low = run, "", now - DROP
         for t, enc, meant in _candidates(run):
@@ -194,11 +201,12 @@ def repair_run(left: str, run: str, right: str, hint: str = "") -> tuple[str, tu
             break
         run = best
         layers.append(how)
-        if not _RUN.search(run):
-            break
     return run, tuple(layers)
 
 
+_remembered = lru_cache(maxsize=100_000)(_repair_run)
+
+
 def repair(text: str) -> tuple[str, list[str], int]:
     """``(restored text, layers taken off, places that stay garbled)`` of one text.
 

@@ -54,3 +54,16 @@ def test_restore(spark):
     got = {r["doc_id"]: r for r in encoding.restore(df).collect()}
     assert set(got) == {1, 5, 6, 7} and got[1]["restored"] == CLEAN[0] and got[6]["restored"].endswith(CLEAN[0]) and not got[7]["complete"]
     assert encoding.restore(df.limit(0)).count() == 0
+
+
+def test_many_layers_come_off():
+    text = bad = "Año nuevo en Peñaranda, niñez"
+    for _ in range(6):
+        bad = "".join(bytes([b]).decode("latin-1") for b in bad.encode())
+    assert encoding.repair(bad)[0] == text
+
+
+def test_long_runs_are_not_remembered():
+    encoding._remembered.cache_clear()
+    encoding.repair("词汇" * 4000)
+    assert encoding._remembered.cache_info().currsize == 0

@@ -21,22 +21,22 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import names
 
-#: Token and attribute buckets (the vocabulary is their sum), vector length, hash tables, sampled values for calibration.
+#: Token and attribute buckets (the vocabulary is their sum), vector length, hash tables, sampled units for calibration.
 TOKENS, ATTRIBUTES, DIM, TABLES, CALIBRATED = 8192, 8192, 48, 28, 1500
+#: Rounds, shared negative samples, negatives a pair and step of the training; window of the skip-grams.
+ROUNDS, NEGATIVES, PER_PAIR, STEP, WINDOW = 6, 256, 5, 0.5, 2
 #: Candidates below the least cosine are dropped, as are those that lie too far below a value's best cosine or similarity.
 LEAST_COSINE, NEAR, SLACK, LEAST_SIM = 0.55, 0.2, 0.25, 0.5
 
 #: What a candidate of a record brings to the decision.
-EVIDENCE = ["h", "psgc10", "nsim", "nlogit", "ps", "pn", "pv", "pnote", "rg", "urg", "upv", "lvn", "lvt", "ulv"]
+EVIDENCE = ["h", "psgc10", "n_units", "nsim", "nlogit", "ps", "pn", "pv", "pnote", "rg", "urg", "lvn", "lvt", "ulv"]
 
 _PARTS = "nm string, ti string, co string, sk string, lvn string, lvt string, pv string, pnote string, rk string"
 
@@ -122,7 +122,9 @@ def walks(recs: DataFrame, values: DataFrame, per_record: int = 2, seed: int = 1
 
     A token's values are numbered within ``salts`` parts of it, so the next
     step is a join on (token, part, number): a token that all values share
-    costs no more than others and no list of its values is ever built.
+    costs no more than others and no list of its values is ever built. Every
+    choice is a hash of the record, the walk and the seed, so the walks are the
+    same in every run and on every cluster.
     """
     v = values.filter("size(g) > 0")
     edges = v.filter("kind <> 'r'").select("vid", F.explode("g").alias("t")).withColumn("s", F.pmod(F.xxhash64("vid", "t"), F.lit(salts)).cast("int"))
@@ -132,34 +134,118 @@ def walks(recs: DataFrame, values: DataFrame, per_record: int = 2, seed: int = 1
     pv = v.filter("kind = 'p'").select(F.col("text").alias("pv"), F.col("a").alias("pa"), F.col("g").alias("pg"))
     r = recs.filter("nm <> ''").select("nm", "pv", "rk").distinct().join(nv, "nm").join(pv, "pv", "left")
     r = r.withColumn("ra", F.when(F.col("rk") != "", (F.pmod(F.xxhash64(F.lit("r"), "rk"), F.lit(ATTRIBUTES)) + TOKENS).cast("int")))
-    r = r.withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(per_record))))
-    r = r.withColumn("t", F.get("ng", F.floor(F.rand(seed) * F.size("ng")).cast("int"))).withColumn("s", F.floor(F.rand(seed + 1) * salts).cast("int"))
-    r = r.join(degree, ["t", "s"], "left").withColumn("i", F.floor(F.rand(seed + 2) * F.col("deg")).cast("int") + 1)
+    r = r.withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(per_record)))).withColumn("rh", F.xxhash64("nm", "pv", "rk", "w", F.lit(seed)))
+    draw = lambda what, n: F.pmod(F.xxhash64("rh", F.lit(what)), n)
+    r = r.withColumn("t", F.get("ng", draw("token", F.size("ng")).cast("int"))).withColumn("s", draw("part", F.lit(salts)).cast("int"))
+    r = r.join(degree, ["t", "s"], "left").withColumn("i", draw("value", F.col("deg")).cast("int") + 1)
     r = r.join(numbered, ["t", "s", "i"], "left").join(v.select(F.col("vid").alias("vid2"), F.col("a").alias("a2"), F.col("g").alias("g2")), "vid2", "left")
-    some = lambda g, k: F.coalesce(F.slice(F.shuffle(g), 1, k), F.array().cast("array<int>"))
+    some = lambda g, k: F.coalesce(F.transform(F.slice(F.array_sort(F.transform(g, lambda x: F.struct(F.xxhash64(x, "rh").alias("o"), x.alias("x")))), 1, k), lambda z: z["x"]), F.array().cast("array<int>"))
     one = lambda c: F.array_compact(F.array(c))
     nodes = F.concat(one("ra"), one("pa"), some("pg", 2), one("na"), some("ng", 6), one("t"), one("a2"), some("g2", 5))
-    return r.select(F.transform(nodes, lambda x: x.cast("string")).alias("nodes"))
+    return r.select(nodes.alias("nodes"))
 
 
-def train(sentences: DataFrame, partitions: int, seed: int = 11) -> np.ndarray:
-    """Skip-gram vectors of the token buckets; buckets that were not met have zeros. The table's size is fixed."""
-    w = Word2Vec(vectorSize=DIM, minCount=1, numPartitions=partitions, maxIter=3, windowSize=2, maxSentenceLength=64, seed=seed, stepSize=0.05, inputCol="nodes", outputCol="v")
-    got = w.fit(sentences).getVectors().select(F.col("word").cast("int").alias("b"), vector_to_array("vector", "float32").alias("v")).filter(F.col("b") < TOKENS).toArrow()  # at most TOKENS rows
-    out = np.zeros((TOKENS, DIM), np.float32)
-    if got.num_rows:
-        out[got.column("b").to_numpy()] = np.asarray(got.column("v").combine_chunks().flatten()).reshape(-1, DIM)
-    seen = np.abs(out).sum(1) > 0
+def skip_grams(sentences: DataFrame) -> DataFrame:
+    """``(node, near, n)``: how often a node stands within ``WINDOW`` of another, both ways, and with which; counted before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            c = b.column("nodes")
+            flat, ends = c.values.to_numpy(zero_copy_only=False).astype(np.int64), c.offsets.to_numpy()
+            sent = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            flat = flat[ends[0] : ends[-1]]
+            found = [keys]
+            for d in range(1, WINDOW + 1):
+                same = np.flatnonzero(sent[d:] == sent[:-d])
+                x, y = flat[same], flat[same + d]
+                both = x != y
+                found += [x[both] << 32 | y[both], y[both] << 32 | x[both]]
+            weight = np.concatenate([size, np.ones(sum(len(f) for f in found[1:]), np.int64)])
+            keys, at = np.unique(np.concatenate(found), return_inverse=True)
+            size = np.bincount(at, weight, len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(size)], names=["node", "near", "n"])
+
+    return sentences.mapInArrow(run, "node int, near int, n bigint").groupBy("node", "near").agg(F.sum("n").alias("n"))
+
+
+def _descend(row: tuple[np.ndarray, np.ndarray], mine: np.ndarray, others: np.ndarray, negatives: np.ndarray) -> np.ndarray:
+    """One node's vector after a step down the skip-gram loss of all its pairs, with shared negative samples."""
+    near, n = row
+    x = others[near]
+    up = (n / (1 + np.exp(np.clip(x @ mine, -30, 30)))) @ x
+    z = others[negatives]
+    down = (1 / (1 + np.exp(np.clip(-(z @ mine), -30, 30)))) @ z * (PER_PAIR * n.sum() / len(negatives))
+    return mine + STEP * ((up - down) / n.sum())
+
+
+def train(sentences: DataFrame, seed: int = 11) -> np.ndarray:
+    """Skip-gram vectors of the token buckets, learned with negative sampling; buckets that were not met have zeros.
+
+    The pairs of all walks are counted once, grouped by node and written. A
+    round then takes every node a step down the loss of all its pairs, both as
+    the centre and as the context, against the vectors of the round before, so
+    it needs no order of sentences and no merging of diverging copies: the
+    outcome does not depend on how the data are spread. Negative samples are
+    drawn per round by the nodes' frequencies to the power 0.75. Vectors start
+    from random signs summed over the nodes around each. The driver holds the
+    table of vectors, whose size is fixed by ``TOKENS + ATTRIBUTES``.
+    """
+    spark, nodes = sentences.sparkSession, TOKENS + ATTRIBUTES
+    rows = skip_grams(sentences).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("near", "n"))).alias("z"))  # at most one entry per node of the vocabulary
+    rows = materialize(rows.select("node", F.col("z.near").alias("near"), F.col("z.n").alias("n"), F.aggregate("z.n", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")), "match-pairs-counted")
+    often = np.zeros(nodes)
+    for r in rows.select("node", "total").toLocalIterator():  # at most one row per node of the vocabulary
+        often[r["node"]] = r["total"]
+    if not often.any():
+        return np.zeros((TOKENS, DIM), np.float32)
+    rnd = np.random.default_rng(seed)
+    signs = rnd.choice(np.array([-1.0, 1.0], np.float32), (nodes, DIM)) / math.sqrt(DIM)
+    rare = np.log(1 + often.sum() / np.maximum(often, 1))
+    u = v = (signs * rare[:, None]).astype(np.float32)
+
+    def round_of(step: int, shared) -> pd.DataFrame:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            u, v, negatives = shared.value
+            for b in batches:
+                near, n = b.column("near"), b.column("n")
+                nf, cf, ends = near.values.to_numpy(), n.values.to_numpy().astype(np.float32), near.offsets.to_numpy()
+                out = []
+                for i, w in enumerate(b.column("node").to_pylist()):
+                    row = nf[ends[i] : ends[i + 1]], cf[ends[i] : ends[i + 1]]
+                    if step:
+                        out.append(np.concatenate([_descend(row, u[w], v, negatives), _descend(row, v[w], u, negatives)]))
+                    else:
+                        x = row[1] @ u[row[0]]
+                        x = x / max(np.linalg.norm(x), 1e-9)
+                        out.append(np.concatenate([x, x]))
+                vectors = np.asarray(out, np.float32).reshape(-1, 2 * DIM)
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.FixedSizeListArray.from_arrays(pa.array(vectors.reshape(-1)), 2 * DIM).cast(pa.list_(pa.float32()))], names=["node", "x"])
+
+        return rows.select("node", "near", "n").mapInArrow(run, "node int, x array<float>").toArrow()
+
+    share = often**0.75 / (often**0.75).sum()
+    for step in range(ROUNDS + 1):
+        shared = spark.sparkContext.broadcast((u, v, rnd.choice(nodes, NEGATIVES, p=share)))  # of fixed size
+        got = round_of(step, shared)
+        x = np.asarray(got.column("x").combine_chunks().flatten(), np.float32).reshape(-1, 2 * DIM)
+        u, v = u.copy(), v.copy()
+        u[got.column("node").to_numpy()], v[got.column("node").to_numpy()] = x[:, :DIM], x[:, DIM:]
+        shared.destroy()
+    out = np.where(often[:TOKENS, None] > 0, u[:TOKENS], 0)
+    seen = often[:TOKENS] > 0
     if seen.any():
         out[seen] -= out[seen].mean(0)
         # the strongest common direction says nothing about a value
-        u = np.linalg.svd(out[seen], full_matrices=False)[2][0]
-        out[seen] -= (out[seen] @ u)[:, None] * u
-    # a fixed random part per bucket keeps rare tokens apart that were met too seldom to be trained
-    noise = np.random.default_rng(seed).standard_normal((TOKENS, DIM)).astype(np.float32)
-    scale = np.linalg.norm(out[seen], axis=1).mean() if seen.any() else 1.0
-    norm = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-    return out / norm * (norm > 1e-6) + noise / math.sqrt(DIM) * (0.9 if scale > 0 else 1.0)
+        d = np.linalg.svd(out[seen], full_matrices=False)[2][0]
+        out[seen] -= (out[seen] @ d)[:, None] * d
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def node_vectors(trained: np.ndarray, seed: int = 11) -> np.ndarray:
+    """The trained vectors; buckets that no walk met get random ones of the same length, so they tell apart what has them."""
+    noise = np.random.default_rng(seed).standard_normal(trained.shape).astype(np.float32)
+    return np.where(np.abs(trained).sum(1, keepdims=True) > 0, trained, noise / np.linalg.norm(noise, axis=1, keepdims=True))
 
 
 def embed(g: list, model: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -211,20 +297,22 @@ def _fixed(column: pa.Array, width: int, dtype: type) -> np.ndarray:
     return raw[first : first + len(column) * width].view(dtype).reshape(len(column), -1)
 
 
-def candidates(hashes: DataFrame, width: type, least: float = LEAST_COSINE, limit: int = 1 << 22) -> DataFrame:
+def candidates(hashes: DataFrame, width: type, least: float = LEAST_COSINE, block: int = 2048) -> DataFrame:
     """``(qid, mid, cosine)`` of values that share a bucket in any table, scored exactly, each pair once.
 
     Buckets are sorted within partitions, known values first, and typed values
     stream past them in blocks; a pair counts in the first table that holds
-    it, so nothing has to be made distinct. A bucket with more than ``limit``
-    pairs is dealt to several tasks: its typed values are spread, its known
-    values copied to each part.
+    it, so nothing has to be made distinct. A bucket with more than ``block``
+    known or typed values is dealt to as many tasks as it has pairs of such
+    blocks, so a task holds one block of known values however hot the bucket.
     """
-    size = hashes.select("bk", "is_q", "is_m").groupBy("bk").agg((F.sum("is_q") * F.sum("is_m")).alias("pairs")).filter(F.col("pairs") > limit)
-    size = size.select("bk", F.least(F.ceil(F.col("pairs") / limit), F.lit(1024)).cast("int").alias("parts"))
-    h = hashes.join(size, "bk", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    m = h.filter("is_m = 1").select("bk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "vid", "vec", "sig")
-    q = h.filter("is_q = 1").select("bk", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "vid", "vec", "sig")
+    size = hashes.select("bk", "is_q", "is_m").groupBy("bk").agg(F.sum("is_q").alias("nq"), F.sum("is_m").alias("nm")).filter(F.col("nq") * F.col("nm") > block * block)
+    size = size.select("bk", F.ceil(F.col("nq") / block).cast("int").alias("pq"), F.ceil(F.col("nm") / block).cast("int").alias("pm"))
+    h = hashes.join(size, "bk", "left").withColumn("pq", F.coalesce("pq", F.lit(1))).withColumn("pm", F.coalesce("pm", F.lit(1)))
+    place = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    m = h.filter("is_m = 1").withColumn("i", parts("pq")).select("bk", (F.col("i") * F.col("pm") + place("pm")).alias("part"), F.lit(0).alias("side"), "vid", "vec", "sig")
+    q = h.filter("is_q = 1").withColumn("j", parts("pm")).select("bk", (place("pq") * F.col("pm") + F.col("j")).alias("part"), F.lit(1).alias("side"), "vid", "vec", "sig")
     rows = m.unionByName(q).repartition(F.col("bk"), F.col("part")).sortWithinPartitions("bk", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,43 +371,65 @@ def misspell(text: str, rnd: random.Random) -> str:
     return text
 
 
-def _edit_sim(a: str, b: str) -> float:
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        cur = [i]
-        for j, y in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
-        prev = cur
-    return 1 - prev[-1] / max(len(a), len(b), 1)
-
+def samples(units: DataFrame, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Typed records made of ``CALIBRATED`` units of the master, and ``(h, code, gone)``: the unit each names, and whether it counts as missing.
 
-def calibrate(sample: list[str], model: np.ndarray, idf: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Weights of a logistic model of (1, cosine, similarity) that a candidate is the right one.
-
-    Fitted on a bounded sample of known values (``CALIBRATED``): each is
-    misspelt, and its right partner and its nearest wrong one are labelled.
+    Names and provinces get the slips of ``misspell``; fields are left out, and
+    some name a neighbouring province (of the same region) or another level, as
+    typists do. For a fifth the unit is taken for one that the master lacks, so
+    its candidates are all wrong.
     """
-    rnd = random.Random(seed)
-    sample = [s for s in sample if len(s) >= 5]
-    if len(sample) < 20:
-        return np.array([-9.0, 4.0, 9.0])
-    typed = [misspell(s, rnd) for s in sample]
-    good, bad = embed([names.grams(s, TOKENS) for s in sample], model, idf), embed([names.grams(s, TOKENS) for s in typed], model, idf)
-    cos = bad @ good.T
-    x, y = [], []
-    for i, t in enumerate(typed):
-        c = cos[i].copy()
-        c[i] = -1
-        j = int(c.argmax())
-        both = lambda u, v: (_edit_sim(u, v) + _edit_sim(names.skeleton(u), names.skeleton(v)) + _edit_sim(names.consonants(u), names.consonants(v))) / 3
-        x += [(1.0, float(cos[i, i]), both(t, sample[i])), (1.0, float(c[j]), both(t, sample[j]))]
-        y += [1.0, 0.0]
-    a, b = np.array(x), np.array(y)
-    w = np.zeros(3)
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-a @ w))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(3)
-        w = w + np.linalg.solve(h, a.T @ (b - p) - 1e-2 * w)
+    rows = units.filter("nm <> ''").select("rec_id", "nm", "pv", "rk", "lvt").orderBy(F.xxhash64("rec_id", "nm"), "rec_id", "nm").limit(CALIBRATED).collect()  # the stated bound
+    rnd, out, beside = random.Random(seed), [], {}
+    for r in rows:
+        beside.setdefault(r["rk"], []).append(r)
+    for i, r in enumerate(rows):
+        other = beside[r["rk"]][rnd.randrange(len(beside[r["rk"]]))]
+        nm = misspell(r["nm"], rnd) if rnd.random() < 0.6 else r["nm"]
+        x = rnd.random()
+        pv = r["pv"] if x < 0.65 else misspell(r["pv"], rnd) if x < 0.8 else "" if x < 0.9 else other["pv"]
+        rk = r["rk"] if rnd.random() < 0.8 else ""
+        x = rnd.random()
+        lvt = r["lvt"] if x < 0.85 else "" if x < 0.95 else other["lvt"]
+        lvn = r["lvt"] if rnd.random() < 0.3 else ""
+        out.append((f"{i}", nm, pv, rk, lvn, lvt, r["rec_id"], i % 5 == 0))
+    df = units.sparkSession.createDataFrame(out, "rec_id string, nm string, pv string, rk string, lvn string, lvt string, code string, gone boolean")
+    recs = df.select(F.lit("made").alias("src"), "rec_id", "nm", F.lit("").alias("pnote"), "pv", "rk", "lvn", "lvt")
+    return recs, df.select("rec_id", "code", "gone")
+
+
+#: What the evidence of a candidate weighs before anything is learned: name odds, name similarity above 0.7, similarity of the
+#: typed province, that it fits, that it does not, that the province in brackets fits, region fits, differs, level of the name
+#: fits, differs, level of the type fits, differs, differs by a province; ``HOLD`` is the share by which a weight may move freely.
+HOLD = 0.1
+PRIOR = np.array([0.0, 1.0, 14.0, 1.5, 0.7, -1.6, 2.0, 0.8, -2.5, 1.2, -1.6, 0.8, -0.6, -3.0])
+
+
+def features() -> list[Column]:
+    """A candidate's evidence as numbers, in the order of ``PRIOR``."""
+    f = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    region = F.col("rg").isNotNull() & (F.col("urg") != "")
+    typed = (F.col("lvt") != "") & (F.col("lvt") != F.col("ulv"))
+    apart = (F.col("lvt") == "province") | ((F.col("ulv") == "province") & (F.col("lvn") != "province"))
+    return [
+        F.lit(1.0), F.least("nlogit", F.lit(6.0)), F.col("nsim") - 0.70, F.coalesce("ps", F.lit(0.0)), f(F.col("ps").isNotNull()), f(F.col("ps").isNull() & (F.col("pv") != "")), f(F.col("pn").isNotNull()),
+        f(region & (F.col("rg") == F.col("urg"))), f(region & (F.col("rg") != F.col("urg"))), f((F.col("lvn") != "") & (F.col("lvn") == F.col("ulv"))), f((F.col("lvn") != "") & (F.col("lvn") != F.col("ulv"))),
+        f((F.col("lvt") != "") & (F.col("lvt") == F.col("ulv"))), f(typed & ~apart), f(typed & apart),
+    ]
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model that a candidate is the right one, drawn towards ``PRIOR`` as far as the labelled rows do not say otherwise."""
+    w, hold = PRIOR.copy(), np.diag(1 / (HOLD * np.abs(PRIOR) + np.where(PRIOR == 0, 1.0, 0.05)) ** 2)
+    if len(y) < 40 or y.all() or not y.any():
+        return w
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + hold
+        move = np.linalg.solve(h, x.T @ (y - p) - hold @ (w - PRIOR))
+        w = w + move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
+        if np.abs(move).max() < 1e-6:
+            break
     return w
 
 
@@ -339,17 +449,13 @@ def value_matches(recs: DataFrame, units: DataFrame, regions: DataFrame, alias:
     sides = q.unionByName(m).groupBy("kind", "text").agg(F.max((F.col("side") == 0).cast("int")).alias("is_q"), F.max((F.col("side") == 1).cast("int")).alias("is_m"))
     vals = materialize(token_values(sides.select("kind", "text")).join(sides, ["kind", "text"]), "match-values")
     counts = {r["kind"]: r["n"] for r in vals.filter("is_m = 1").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per attribute
-    bits = {k: min(20, max(2, math.ceil(math.log2(max(2, counts.get(k, 1)))) - 5)) for k in ("n", "p", "r")}
-    sent = materialize(walks(recs.select("nm", "pv", "rk").unionByName(units.select("nm", "pv", "rk")), vals), "match-walks")
-    n_sent = sent.count()
-    model = train(sent, max(1, min(64, n_sent // 20000)))
+    bits = {k: min(31, max(2, math.ceil(math.log2(max(2, counts.get(k, 1)))) - 5)) for k in ("n", "p", "r")}
+    model = node_vectors(train(walks(recs.filter("src <> 'made'").select("nm", "pv", "rk").unionByName(units.select("nm", "pv", "rk")), vals)))
     df = vals.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).collect()  # at most TOKENS rows
     total = sum(r["c"] for r in df) / 12 + 1
     idf = np.zeros(TOKENS, np.float32)
     for r in df:
         idf[r["t"]] = math.log(1 + total / r["c"])
-    sample = [r["text"] for r in vals.filter("kind = 'n' and is_m = 1").orderBy(F.xxhash64("text")).limit(CALIBRATED).select("text").collect()]
-    weights = calibrate(sample, model, idf)
     shared = recs.sparkSession.sparkContext.broadcast((model, idf))  # fixed size
     pairs = candidates(hashed(vals, shared, bits), signature_type(bits))
     # a value's right partner lies near its best cosine, so edits are counted for few pairs
@@ -358,7 +464,8 @@ def value_matches(recs: DataFrame, units: DataFrame, regions: DataFrame, alias:
     p = pairs.join(side("q", F.col("kind")), "qid").join(side("m"), "mid")
     p = p.withColumn("sim", names.name_similarity(("q_ti", "q_co", "q", "q_sk", "q_cc"), ("m_ti", "m_co", "m", "m_sk", "m_cc")))
     p = p.filter(F.col("sim") >= LEAST_SIM).withColumn("best", F.max("sim").over(W.partitionBy("kind", "q"))).filter(F.col("sim") >= F.col("best") - SLACK)
-    logit = F.lit(float(weights[0])) + F.lit(float(weights[1])) * F.col("cosine") + F.lit(float(weights[2])) * F.col("sim")
+    # odds of a name before anything else is known of the record, from the stated weights of cosine and similarity
+    logit = -13 + 6 * F.col("cosine") + 13 * F.col("sim")
     return materialize(p.select("kind", "q", "m", "sim", "cosine", logit.alias("logit")), "match-pairs")
 
 
@@ -366,21 +473,24 @@ def match_records(recs: DataFrame, units: DataFrame, master: DataFrame, least: f
     """``(src, rec_id, psgc10, confidence)``: the unit each record names, none if the master seems to lack it.
 
     ``recs`` and ``units`` are normalized. Names are looked up in the typed
-    province, in the province noted in brackets, then in the region, then in the whole
-    master where the name is rare enough to tell; a candidate's evidence adds
-    up over name, province, region and level, and the best one is taken.
+    province, in the province noted in brackets, in the region and in the whole
+    master; a candidate's evidence adds up over name, province, region and
+    level with weights fitted on records made of known units (``samples``), and
+    the best one is taken.
 
     Defined results: records without a name, and such that name totals or
     notes, give no row; a null province or region is no evidence; repeated
-    records each get their match; of equal candidates the smaller code wins; an
-    empty master matches nothing.
+    records each get their match; where several units fit equally well, no row
+    is given; an empty master matches nothing.
     """
+    made, truth = samples(units)
+    recs = recs.select(*made.columns).unionByName(made)
     regions, alias = materialize(region_names(master), "match-regions"), materialize(province_aliases(units), "match-provinces")
     vm = value_matches(recs, units, regions, alias)
     n = vm.filter("kind = 'n'").select(F.col("q").alias("nm"), F.col("m").alias("unm"), F.col("sim").alias("nsim"), F.col("logit").alias("nlogit")).filter("nsim >= 0.56")
     pm = vm.filter("kind = 'p'").join(alias.withColumnRenamed("text", "m"), "m").groupBy("q", F.col("pv").alias("upv")).agg(F.max("sim").alias("psim"))
     pm = pm.withColumn("top", F.max("psim").over(W.partitionBy("q"))).filter("psim >= 0.6 and psim >= top - 0.12").drop("top")
-    rm = vm.filter("kind = 'r'").join(regions.withColumnRenamed("text", "m").withColumnRenamed("rk", "rid"), "m").groupBy(F.col("q").alias("rk")).agg(F.max_by("rid", "sim").alias("rid"), F.max("sim").alias("rsim")).filter("rsim >= 0.55").drop("rsim")
+    rm = vm.filter("kind = 'r'").join(regions.withColumnRenamed("text", "m").withColumnRenamed("rk", "rid"), "m").groupBy(F.col("q").alias("rk")).agg(F.max_by("rid", F.struct("sim", "rid")).alias("rid"), F.max("sim").alias("rsim")).filter("rsim >= 0.55").drop("rsim")
     r = recs.filter("nm <> ''").join(rm, "rk", "left")
     r = r.withColumn("rg", F.when(F.col("rk").rlike(r"^\d+$"), F.col("rk")).otherwise(F.col("rid")))
     r = r.select(F.xxhash64("nm", "pv", "pnote", "rg", "lvn", "lvt").alias("h"), "src", "rec_id", "nm", "pv", "pnote", "rg", "lvn", "lvt")
@@ -388,31 +498,54 @@ def match_records(recs: DataFrame, units: DataFrame, master: DataFrame, least: f
     # records of the same parts are decided once
     d = materialize(r.drop("src", "rec_id").dropDuplicates(["h"]), "match-distinct")
     u = units.select(F.col("rec_id").alias("psgc10"), F.col("nm").alias("unm"), F.col("pv").alias("upv"), F.col("rk").alias("urg"), F.col("lvt").alias("ulv")).filter("unm <> ''").distinct()
-    u = materialize(u.withColumn("of_name", F.count(F.lit(1)).over(W.partitionBy("unm"))).withColumn("of_region", F.count(F.lit(1)).over(W.partitionBy("unm", "urg"))), "match-units")
+    u = materialize(u, "match-units")
     hints = d.select("h", F.col("pv").alias("q"), F.lit(1).alias("typed")).unionByName(d.select("h", F.col("pnote").alias("q"), F.lit(2).alias("typed"))).filter("q <> ''")
     hp = hints.join(pm, "q").groupBy("h", "upv").agg(F.max(F.when(F.col("typed") == 1, F.col("psim"))).alias("ps"), F.max(F.when(F.col("typed") == 2, F.col("psim"))).alias("pn"))
-    # each record beside the units whose names it may mean: in its province, and elsewhere where the name
-    # fits well and few units of the region, or of the master, have it
+    # each record beside the units whose names it may mean: in its province, and elsewhere where the name fits well
     named = materialize(d.join(n, "nm"), "match-named")
-    inside = named.join(hp, "h").join(u, ["unm", "upv"])
+    inside = named.join(hp, "h").join(alike(u, "upv"), ["unm", "upv"])
     null = F.lit(None).cast("double")
     far = named.filter("nsim >= 0.75").withColumn("ps", null).withColumn("pn", null)
-    near = far.filter("rg is not null").join(u.filter("of_region <= 3").withColumn("rg", F.col("urg")), ["unm", "rg"])
-    whole = far.filter("nsim >= 0.88 or (pv = '' and pnote = '' and rg is null)").join(u.filter("of_name <= 2"), "unm")
-    c = materialize(inside.select(*EVIDENCE).unionByName(near.select(*EVIDENCE)).unionByName(whole.select(*EVIDENCE)), "match-evidence")
-    best = decide(c, least)
-    return r.select("h", "src", "rec_id").join(best, "h").select("src", "rec_id", "psgc10", "confidence", F.col("nsim").alias("name_similarity"))
-
-
-def decide(c: DataFrame, least: float) -> DataFrame:
-    """The best candidate of each ``h`` by the summed evidence of name, province, region and level: ``(h, psgc10, confidence, nsim)``."""
-    region = F.when(F.col("rg").isNull() | (F.col("urg") == ""), 0.0).when(F.col("rg") == F.col("urg"), 0.8).otherwise(-2.5)
-    prov = F.when(F.col("ps").isNotNull(), 1.5 * F.col("ps") + 0.7).when(F.col("pv") != "", -1.6).otherwise(0.0) + F.when(F.col("pn").isNotNull(), 2.0).otherwise(0.0)
-    lv = F.when(F.col("lvn") == "", 0.0).when(F.col("lvn") == F.col("ulv"), 1.2).otherwise(-1.6)
-    lt = F.when(F.col("lvt") == "", 0.0).when(F.col("lvt") == F.col("ulv"), 0.8).otherwise(F.when((F.col("lvt") == "province") | ((F.col("ulv") == "province") & (F.col("lvn") != "province")), -3.0).otherwise(-0.6))
-    c = c.withColumn("score", F.least(F.col("nlogit"), F.lit(6.0)) + 14 * (F.col("nsim") - 0.70) + prov + region + lv + lt)
-    best = c.groupBy("h").agg(F.max(F.struct("score", F.negative(F.xxhash64("psgc10")).alias("tie"), "psgc10", "nsim")).alias("b"))
-    return best.select("h", "b.psgc10", (1 / (1 + F.exp(-F.col("b.score")))).alias("confidence"), F.col("b.nsim").alias("nsim")).filter(F.col("confidence") >= least)
+    near = far.filter("rg is not null").join(alike(u).withColumn("rg", F.col("urg")), ["unm", "rg"])
+    whole = far.filter("nsim >= 0.88 or (pv = '' and pnote = '' and rg is null)").join(alike(u), "unm")
+    c = materialize(inside.select(*EVIDENCE).unionByName(near.select(*EVIDENCE)).unionByName(whole.select(*EVIDENCE)).distinct(), "match-evidence")
+    best = decide(c, least, learned(c, r.filter("src = 'made'").select("h", "rec_id"), truth))
+    return r.filter("src <> 'made'").select("h", "src", "rec_id").join(best, "h").select("src", "rec_id", "psgc10", "confidence", F.col("nsim").alias("name_similarity"))
+
+
+def alike(u: DataFrame, *place: str) -> DataFrame:
+    """Units that the evidence cannot tell apart as one row: ``(unm, place, urg, ulv, psgc10, n_units)``.
+
+    A name that thousands of units bear has as many rows as there are regions
+    and levels, so no candidate has to be left out for it.
+    """
+    return u.groupBy("unm", *place, "urg", "ulv").agg(F.min("psgc10").alias("psgc10"), F.count_distinct("psgc10").cast("int").alias("n_units"))
+
+
+def learned(c: DataFrame, made: DataFrame, truth: DataFrame) -> np.ndarray:
+    """``calibrate`` on the candidate that would be taken for each made record, right or wrong, its unit left out where it counts as missing."""
+    x = c.join(made, "h").join(truth, "rec_id").withColumn("right", F.col("psgc10") == F.col("code")).filter("not (right and gone)")
+    x = x.select("rec_id", F.col("right").cast("double").alias("right"), F.array(*features()).alias("x"))
+    x = x.groupBy("rec_id").agg(F.max(F.struct(F.round(sum((F.get("x", i) * float(w) for i, w in enumerate(PRIOR)), F.lit(0.0)), 9), "right", "x")).alias("b"))
+    rows = x.select("b.x", "b.right").toPandas()  # one row for each made record that has a candidate
+    if not len(rows):
+        return PRIOR.copy()
+    m = np.column_stack([np.array(rows["x"].tolist(), float), rows["right"].to_numpy(float)])
+    m = m[np.lexsort(m.T)]
+    return calibrate(m[:, :-1], m[:, -1])
+
+
+def decide(c: DataFrame, least: float, weights: np.ndarray = PRIOR) -> DataFrame:
+    """The best candidate of each ``h`` by the weighed evidence of name, province, region and level: ``(h, psgc10, confidence, nsim)``.
+
+    Where several units have the same best evidence, none is taken.
+    """
+    c = c.withColumn("score", F.round(sum((x * float(w) for x, w in zip(features(), weights, strict=True)), F.lit(0.0)), 9))
+    each = c.groupBy("h", "psgc10").agg(F.max(F.struct("score", "nsim", "n_units")).alias("b"))
+    w = W.partitionBy("h")
+    top = each.withColumn("top", F.max("b.score").over(w)).filter(F.col("b.score") == F.col("top"))
+    best = top.groupBy("h").agg(F.min("psgc10").alias("psgc10"), F.sum("b.n_units").alias("n"), F.max("b.score").alias("score"), F.max("b.nsim").alias("nsim")).filter("n = 1")
+    return best.select("h", "psgc10", (1 / (1 + F.exp(-F.col("score")))).alias("confidence"), "nsim").filter(F.col("confidence") >= least)
 
 
 def panel_records(sre: DataFrame, psa: DataFrame | None = None) -> DataFrame:

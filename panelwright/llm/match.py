@@ -33,26 +33,27 @@ TOKENS, ATTRIBUTES, DIM, TABLES, CALIBRATED = 8192, 8192, 48, 28, 1500
 #: Rounds, shared negative samples, negatives a pair and step of the training; window of the skip-grams.
 ROUNDS, NEGATIVES, PER_PAIR, STEP, WINDOW = 6, 256, 5, 0.5, 2
 #: Candidates below the least cosine are dropped, as are those that lie too far below a value's best cosine or similarity.
-LEAST_COSINE, NEAR, SLACK, LEAST_SIM = 0.55, 0.2, 0.25, 0.5
+LEAST_COSINE, NEAR, SLACK, LEAST_SIM = 0.5, 0.3, 0.35, 0.5
 
 #: What a candidate of a record brings to the decision.
 EVIDENCE = ["h", "psgc10", "n_units", "nsim", "nlogit", "ps", "pn", "pv", "pnote", "rg", "urg", "lvn", "lvt", "ulv"]
 
-_PARTS = "nm string, ti string, co string, sk string, lvn string, lvt string, pv string, pnote string, rk string"
+_PARTS = "nm string, wd string, ti string, co string, sk string, lvn string, lvt string, pv string, pnote string, rk string"
 
 
 def normalized(records: DataFrame) -> DataFrame:
-    """``src, rec_id, name, province, region, type`` brought to parts: name, title, core, skeleton, levels, province, note, region."""
+    """``src, rec_id, name, province, region, type`` brought to parts: name, its words, title, core, skeleton, levels, province, note, region."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {c: [] for c in ("nm", "ti", "co", "sk", "lvn", "lvt", "pv", "pnote", "rk")}
+            out = {c: [] for c in ("nm", "wd", "ti", "co", "sk", "lvn", "lvt", "pv", "pnote", "rk")}
             for n, p, r, t in zip(pdf["name"], pdf["province"], pdf["region"], pdf["type"], strict=True):
                 nm, ti, co, lv, note = names.parse(n)
                 pv = names.parse(p)[0]
                 rk = names.region_key(r)
                 former = note.startswith("formerly")
                 out["nm"].append(nm)
+                out["wd"].append(names.words(n))
                 out["ti"].append(ti)
                 out["co"].append(co)
                 out["sk"].append(names.skeleton(nm))

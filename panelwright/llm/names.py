@@ -43,7 +43,6 @@ def plain(text: str | None) -> str:
     return " ".join(t.replace("‘", "'").replace("’", "'").split())
 
 
-@lru_cache(maxsize=100_000)
 def parse(name: str | None) -> tuple[str, str, str, str, str]:
     """``(compact, title, core, level, note)`` of a typed name.
 
@@ -51,6 +50,16 @@ def parse(name: str | None) -> tuple[str, str, str, str, str]:
     ``level`` is told by words around the name, '' if none; ``note`` holds what
     stood in brackets. A row that names no place, null and '' give ''.
     """
+    return _parse(name)[:5]
+
+
+def words(name: str | None) -> str:
+    """The words of a typed name in order, short forms spelt out, with blanks between them; without the blanks it is ``parse``'s first part."""
+    return _parse(name)[5]
+
+
+@lru_cache(maxsize=20_000)
+def _parse(name: str | None) -> tuple[str, str, str, str, str, str]:
     t = _NOTE.sub(" ", plain(name))
     level, notes = "", []
     for p in _PAREN.findall(t):
@@ -61,10 +70,10 @@ def parse(name: str | None) -> tuple[str, str, str, str, str]:
         elif w not in ("capital", "continued", "cont", "cont'd"):
             notes.append(p)
     if "(continued)" in t and _NO.match(_PAREN.sub(" ", t).strip()):
-        return "", "", "", "", ""
+        return "", "", "", "", "", ""
     t = _DISTRICT.sub("", " ".join(_PAREN.sub(" ", t).split())).strip(" .,;-–")
     if _NO.match(t):
-        return "", "", "", "", ""
+        return "", "", "", "", "", ""
     for _ in range(3):
         m = _PREFIX.match(t)
         if m:
@@ -94,10 +103,10 @@ def parse(name: str | None) -> tuple[str, str, str, str, str]:
         words[-1] = TRAILING.get(words[-1], words[-1])
         words = ["del" if w == "dl" else w for w in words]
     if not words:
-        return "", "", "", "", ""
+        return "", "", "", "", "", ""
     title = words[0] if len(words) > 1 and words[0] in TITLES else ""
     core = "".join(words[1:]) if title else "".join(words)
-    return title + core, title, core, level, " ".join(notes)
+    return title + core, title, core, level, " ".join(notes), " ".join(words)
 
 
 def parts(compact: str) -> tuple[str, str, str, str]:

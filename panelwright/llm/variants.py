@@ -18,43 +18,53 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import names
-from .match import EVIDENCE, decide, province_aliases, region_names
+from .match import EVIDENCE, alike, decide, province_aliases, region_names
 
-#: Token space, buckets that tokens are counted in, least share of common tokens, least verified similarity, the same for names that stand alone.
+#: Token space, buckets that tokens and words are counted in, least share of common tokens, least verified similarity, the same for names that stand alone.
 SPACE, BUCKETS, LEAST_SHARED, LEAST_SIM, LEAST_ALONE = 1 << 20, 1 << 16, 0.28, 0.58, 0.74
+#: What a slip costs: a letter for one that is taken for it, for any other, a vowel lost or added, an h or a doubled letter, any other letter, two neighbours swapped.
+TAKEN_FOR, CHANGED, VOWEL, SILENT, LETTER, SWAPPED = 0.4, 1.0, 0.7, 0.4, 1.0, 0.9
 
+_FOLDED = str.maketrans("vfcqzeowyj", "bpkksiuuih")
 
-def corpus_statistics(texts: DataFrame) -> tuple[np.ndarray, dict[str, float], float]:
-    """Frequencies of token buckets, weights of titles and the weight of any other word, over all distinct texts.
 
-    The driver gets one row per bucket (``BUCKETS`` of them) and per title, a
-    fixed list; tasks count before anything is shuffled.
+def _bucket(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) % BUCKETS
+
+
+def corpus_statistics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """In how many of all distinct texts each bucket of tokens and of words occurs, and the number of texts.
+
+    The driver gets one row per bucket (``BUCKETS`` of either kind at most);
+    tasks count before anything is shuffled.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, titles = np.zeros(BUCKETS, np.int64), {}
+        seen = np.zeros(2 * BUCKETS + 1, np.int64)
         for pdf in batches:
             for t in pdf["text"]:
-                df[np.asarray(names.grams(t, SPACE)) % BUCKETS] += 1
-                k = names.parts(t)[0]
-                titles[k] = titles.get(k, 0) + 1
-        some = np.flatnonzero(df)
-        yield pd.DataFrame({"kind": ["b"] * len(some) + ["t"] * len(titles), "key": [str(i) for i in some] + list(titles), "n": [*df[some].tolist(), *titles.values()]})
-
-    rows = texts.select("text").distinct().mapInPandas(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        if r["kind"] == "b":
-            df[int(r["key"])] = r["n"]
-    titles = {r["key"]: r["n"] for r in rows if r["kind"] == "t"}
-    total = sum(titles.values())
-    return df, {k: math.log(1 + total / n) for k, n in titles.items() if k}, math.log(1 + total)
+                seen[np.asarray(grams(t)) % BUCKETS] += 1
+                seen[BUCKETS + np.array(sorted({_bucket(w) for w in t.split()}), int)] += 1
+            seen[-1] += len(pdf)
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"key": some, "n": seen[some]})
+
+    out = np.zeros(2 * BUCKETS + 1, np.int64)
+    for r in texts.select("text").distinct().mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        out[r["key"]] = r["n"]
+    return out[:BUCKETS], out[BUCKETS:-1], int(out[-1])
+
+
+def grams(text: str) -> list[int]:
+    """The q-grams of a name's letters; blanks, which typists add and lose, do not count."""
+    return names.grams(text.replace(" ", ""), SPACE)
 
 
 def prefix(tokens: list[int], df: np.ndarray, shared: float) -> list[int]:
@@ -67,24 +77,105 @@ def prefix(tokens: list[int], df: np.ndarray, shared: float) -> list[int]:
     return order[: len(order) - math.ceil(shared * len(order)) + 1]
 
 
+def slips(a: str, b: str) -> tuple[list[float], list[float]]:
+    """What the cheapest way from ``a`` to ``b`` costs, laid on the letters of ``a`` and on those of ``b``."""
+    fa, fb, n, m = a.translate(_FOLDED), b.translate(_FOLDED), len(a), len(b)
+
+    def lone(s: str, i: int) -> float:
+        return SILENT if s[i] == "h" or (i and s[i - 1] == s[i]) else VOWEL if s[i] in "aeiou" else LETTER
+
+    drop, add = [lone(a, i) for i in range(n)], [lone(b, j) for j in range(m)]
+    rows = [[0.0]]
+    for x in add:
+        rows[0].append(rows[0][-1] + x)
+    for i in range(1, n + 1):
+        up, di, ai, fi = rows[-1], drop[i - 1], a[i - 1], fa[i - 1]
+        cur = [up[0] + di]
+        for j in range(1, m + 1):
+            c = up[j - 1] if ai == b[j - 1] else up[j - 1] + (TAKEN_FOR if fi == fb[j - 1] else CHANGED)
+            x = up[j] + di
+            if x < c:
+                c = x
+            x = cur[-1] + add[j - 1]
+            if x < c:
+                c = x
+            if i > 1 and j > 1 and ai == b[j - 2] and a[i - 2] == b[j - 1] and ai != b[j - 1]:
+                x = rows[i - 2][j - 2] + SWAPPED
+                if x < c:
+                    c = x
+            cur.append(c)
+        rows.append(cur)
+    on_a, on_b, i, j = [0.0] * n, [0.0] * m, n, m
+    while i or j:
+        c = rows[i][j]
+        if i and j and c == rows[i - 1][j - 1] + (0.0 if a[i - 1] == b[j - 1] else TAKEN_FOR if fa[i - 1] == fb[j - 1] else CHANGED):
+            i, j = i - 1, j - 1
+            on_a[i] += c - rows[i][j]
+            on_b[j] += c - rows[i][j]
+        elif i and c == rows[i - 1][j] + drop[i - 1]:
+            i -= 1
+            on_a[i] += drop[i]
+            if m:
+                on_b[min(j, m - 1)] += drop[i]
+        elif j and c == rows[i][j - 1] + add[j - 1]:
+            j -= 1
+            on_b[j] += add[j]
+            if n:
+                on_a[min(i, n - 1)] += add[j]
+        else:
+            i, j = i - 2, j - 2
+            for on, k in ((on_a, i), (on_b, j)):
+                on[k] += SWAPPED / 2
+                on[k + 1] += SWAPPED / 2
+    return on_a, on_b
+
+
+def soft_similarity(q: str, m: str, weight) -> float:  # noqa: ANN001
+    """Similarity in [0, 1] of two names by their words, of which rare ones count more.
+
+    The letters of both names are laid side by side by the cheapest slips, so a
+    word that a blank cuts in two, or one glued to the next, still meets its
+    partner. Each word of either name then has the share of its letters that
+    stand without slips, and the shares are averaged with the weights that
+    ``weight`` gives the words. Names with different titles in front are held
+    for half as similar, as a title is a whole other word and not a slip; a name
+    cut off after five letters or more counts 0.8.
+    """
+    a, b = q.replace(" ", ""), m.replace(" ", "")
+    if a == b:
+        return 1.0
+    total = of = 0.0
+    for text, on in zip((q, m), slips(a, b), strict=True):
+        at = 0
+        for w in text.split():
+            wt = weight(w)
+            total += wt * max(0.0, 1 - sum(on[at : at + len(w)]) / len(w))
+            of += wt
+            at += len(w)
+    s = total / of if of else 0.0
+    ta, tb = names.parts(a)[0], names.parts(b)[0]
+    if ta and tb and ta != tb:
+        return 0.5 * s
+    return max(s, 0.8) if min(len(a), len(b)) >= 5 and (a.startswith(b) or b.startswith(a)) else s
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, stats: tuple, shared: float = LEAST_SHARED, least: float = LEAST_SIM) -> DataFrame:
     """``(block, q, m, sim)`` of texts of both sides that lie in one block and are similar; each pair once.
 
-    Both sides have ``(block, text)``. Blocks only limit the search; a block
-    may hold a third of all texts, as the join is on block and token. Pairs are
-    made distinct, held against the wanted share of common tokens, and their
-    words compared: matched by edits, each weighted by how rare it is. The
-    words of a name are its title and the rest, blanks and hyphens inside the
-    rest being slips; a title that thousands of names share weighs little.
+    Both sides have ``(block, text)``, a text being words with blanks between
+    them. Blocks only limit the search; a block may hold a third of all texts,
+    as the join is on block and token. Pairs are made distinct, held against
+    the wanted share of common tokens, and then compared by
+    ``soft_similarity``, a word weighing log(1 + texts / texts that have it).
     """
-    df, titles, usual = stats
-    shared_df = left.sparkSession.sparkContext.broadcast(df)  # of fixed size
+    df, wf, n_texts = stats
+    counts = left.sparkSession.sparkContext.broadcast((df, wf))  # of fixed size
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                out = [(b, t, x) for b, t in zip(part.column("block").to_pylist(), part.column("text").to_pylist(), strict=True) for x in prefix(names.grams(t, SPACE), shared_df.value, shared)]
+                out = [(b, t, x) for b, t in zip(part.column("block").to_pylist(), part.column("text").to_pylist(), strict=True) for x in prefix(grams(t), counts.value[0], shared)]
                 cols = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["block", "text", "token"])
 
@@ -94,32 +185,18 @@ def similar_pairs(left: DataFrame, right: DataFrame, stats: tuple, shared: float
     j = tokens(left).withColumnRenamed("text", "q").join(known, ["block", "token"]).select("block", "q", "m").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, split = lru_cache(200_000)(lambda t: frozenset(names.grams(t, SPACE))), lru_cache(200_000)(names.parts)
+        sets = lru_cache(20_000)(lambda t: frozenset(grams(t)))
+        weight = lru_cache(20_000)(lambda w: math.log(1 + n_texts / max(1, int(counts.value[1][_bucket(w)]))))
         for batch in batches:
             kept = []
             for block, q, m in zip(*(batch.column(c).to_pylist() for c in ("block", "q", "m")), strict=True):
                 a, b = sets(q), sets(m)
                 both = len(a & b)
-                if both >= shared * (len(a) + len(b) - both):
-                    kept.append((block, q, m, *split(q), *split(m)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.string()) for i in range(11)], names=columns)
-
-    columns = ["block", "q", "m", *[f"{side}_{c}" for side in "qm" for c in ("ti", "co", "sk", "cc")]]
-    p = j.mapInArrow(verify, ", ".join(f"{c} string" for c in columns))
-    return p.withColumn("sim", soft_similarity(titles, usual)).filter(F.col("sim") >= least).select("block", "q", "m", "sim")
-
+                if both >= shared * (len(a) + len(b) - both) and (s := soft_similarity(q, m, weight)) >= least:
+                    kept.append((block, q, m, s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], names=["block", "q", "m", "sim"])
 
-def soft_similarity(titles: dict[str, float], usual: float) -> Column:
-    """Similarity of the words of ``q`` and ``m``, weighted by rarity; see ``similar_pairs``."""
-    rel = lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
-    whole = (rel("q", "m") + rel("q_sk", "m_sk") + rel("q_cc", "m_cc")) / 3
-    core = (rel("q_co", "m_co") + rel("q_cc", "m_cc")) / 2
-    weights = F.create_map(*[F.lit(x) for kv in sorted(titles.items()) for x in kv]) if titles else None
-    wt = 0.3 * (F.coalesce(F.try_element_at(weights, F.col("q_ti")), F.lit(1.0)) if weights is not None else F.lit(1.0))
-    both = (wt * rel("q_ti", "m_ti") + usual * core) / (wt + usual)
-    titled = (F.col("q_ti") != "") & (F.col("m_ti") != "")
-    cut = F.when((F.least(F.length("q"), F.length("m")) >= 5) & (F.startswith("q", "m") | F.startswith("m", "q")), F.lit(0.8)).otherwise(F.lit(0.0))
-    return F.when(F.col("q") == F.col("m"), 1.0).when(titled & (F.col("q_ti") == F.col("m_ti")), both).when(titled, 0.5 * whole).otherwise(F.greatest(whole, cut))
+    return j.mapInArrow(verify, "block string, q string, m string, sim double")
 
 
 def link(labels: DataFrame, units: DataFrame, master: DataFrame) -> DataFrame:
@@ -130,9 +207,11 @@ def link(labels: DataFrame, units: DataFrame, master: DataFrame) -> DataFrame:
 
     Defined results: null and empty names and rows that name totals or notes
     get no entity; labels of the same parts share their entity; a null province
-    is looked up by its region; an empty master leaves all names to each other;
-    of equal candidates the smaller code wins.
+    is looked up by its region, a null region in all of them; an empty master
+    leaves all names to each other; a label that several units fit equally well
+    is linked to labels of its spelling only.
     """
+    labels, units = labels.withColumn("nm", F.col("wd")), units.withColumn("nm", F.col("wd"))
     stats = corpus_statistics(labels.select(F.col("nm").alias("text")).unionByName(units.select(F.col("nm").alias("text"))).filter("text <> ''"))
     prov, rm = places(labels, units, master, stats)
     r = labels.filter("nm <> ''").join(rm, "rk", "left").withColumn("rg", F.when(F.col("rk").rlike(r"^\d+$"), F.col("rk")).otherwise(F.col("rid")))
@@ -140,6 +219,7 @@ def link(labels: DataFrame, units: DataFrame, master: DataFrame) -> DataFrame:
     d = r.groupBy("h", "nm", "pv", "pnote", "rg", "lvn", "lvt").agg(F.count(F.lit(1)).alias("n_labels"))
     d = materialize(d, "variants-labels")
     u = units.select(F.col("rec_id").alias("psgc10"), F.col("nm").alias("unm"), F.col("pv").alias("upv"), F.col("rk").alias("urg"), F.col("lvt").alias("ulv")).filter("unm <> ''").distinct()
+    u = materialize(u, "variants-units")
     hints = d.select("h", F.col("pv").alias("q"), F.lit(1).alias("typed")).unionByName(d.select("h", F.col("pnote").alias("q"), F.lit(2).alias("typed"))).filter("q <> ''")
     hp = hints.join(prov, "q").groupBy("h", "upv").agg(F.max(F.when(F.col("typed") == 1, F.col("psim"))).alias("ps"), F.max(F.when(F.col("typed") == 2, F.col("psim"))).alias("pn"))
     hp = materialize(hp, "variants-places")
@@ -147,14 +227,12 @@ def link(labels: DataFrame, units: DataFrame, master: DataFrame) -> DataFrame:
     inside = d.join(hp, "h")
     sp = similar_pairs(inside.select(F.col("upv").alias("block"), F.col("nm").alias("text")), u.select(F.col("upv").alias("block"), F.col("unm").alias("text")), stats)
     logit = 12 * F.col("sim") - 7
-    c1 = inside.join(sp.select(F.col("block").alias("upv"), F.col("q").alias("nm"), F.col("m").alias("unm"), "sim"), ["upv", "nm"]).join(u, ["unm", "upv"])
+    c1 = inside.join(sp.select(F.col("block").alias("upv"), F.col("q").alias("nm"), F.col("m").alias("unm"), "sim"), ["upv", "nm"]).join(alike(u, "upv"), ["unm", "upv"])
     c1 = c1.withColumn("nsim", F.col("sim")).withColumn("nlogit", logit)
     first = materialize(decide(c1.select(*EVIDENCE), 0.5), "variants-first")
-    # of what is left: within the region, or anywhere if that is unknown too, by names that fit well and that few units have
+    # of what is left: within the region, or anywhere if that is unknown too, by names that fit well
     rest = d.join(first.select("h"), "h", "left_anti").withColumn("block", F.coalesce("rg", F.lit("*")))
-    ur = u.withColumn("same", F.count(F.lit(1)).over(W.partitionBy("unm", "urg"))).filter("same <= 3").withColumn("block", F.col("urg"))
-    uu = u.withColumn("same", F.count(F.lit(1)).over(W.partitionBy("unm"))).filter("same <= 2").withColumn("block", F.lit("*"))
-    wide = ur.unionByName(uu).drop("same")
+    wide = alike(u).withColumn("block", F.explode(F.array("urg", F.lit("*"))))
     sr = similar_pairs(rest.select("block", F.col("nm").alias("text")), wide.select("block", F.col("unm").alias("text")), stats, 0.4, 0.75)
     c2 = rest.join(sr.select("block", F.col("q").alias("nm"), F.col("m").alias("unm"), "sim"), ["block", "nm"]).join(wide, ["unm", "block"])
     c2 = c2.withColumn("nsim", F.col("sim")).withColumn("nlogit", logit).withColumn("ps", F.lit(None).cast("double")).withColumn("pn", F.lit(None).cast("double"))
@@ -173,30 +251,42 @@ def places(labels: DataFrame, units: DataFrame, master: DataFrame, stats: tuple)
     pairs = materialize(similar_pairs(typed, known, stats, 0.25, 0.5), "variants-places")
     p = pairs.filter("block = 'p' and sim >= 0.6").join(alias.select(F.col("text").alias("m"), F.col("pv").alias("upv")), "m").groupBy("q", "upv").agg(F.max("sim").alias("psim"))
     p = p.withColumn("top", F.max("psim").over(W.partitionBy("q"))).filter("psim >= top - 0.12").drop("top")
-    r = pairs.filter("block = 'r'").join(regions.withColumnRenamed("text", "m").withColumnRenamed("rk", "rid"), "m").groupBy(F.col("q").alias("rk")).agg(F.max_by("rid", "sim").alias("rid"))
+    r = pairs.filter("block = 'r'").join(regions.withColumnRenamed("text", "m").withColumnRenamed("rk", "rid"), "m").groupBy(F.col("q").alias("rk")).agg(F.max_by("rid", F.struct("sim", "rid")).alias("rid"))
     return p, r
 
 
-def gather(d: DataFrame, hp: DataFrame, region_of: DataFrame, stats: tuple, jumps: int = 3) -> DataFrame:
+def gather(d: DataFrame, hp: DataFrame, region_of: DataFrame, stats: tuple) -> DataFrame:
     """``(h, entity)`` of names the master lacks: each spelling points to the most used similar one of its region.
 
-    Pointers go from rarer to commoner spellings only, so they form trees;
-    their roots are found by doubling, without collecting a component.
+    A spelling without a region points to the most similar one of any region.
+    Pointers go from rarer to commoner spellings and from unknown to known
+    regions only, so they form trees; their roots are found by doubling the
+    pointers until none moves, without collecting a component.
     """
-    place = hp.groupBy("h").agg(F.max_by("upv", F.coalesce("ps", "pn")).alias("upv")).join(region_of, "upv", "left")
-    x = d.join(place, "h", "left").withColumn("block", F.coalesce("rg", "urg", F.lit("*"))).withColumn("level", F.when(F.col("lvn") != "", F.col("lvn")).otherwise(F.col("lvt")))
-    x = materialize(x.select("h", "nm", "block", "level", "n_labels"), "variants-lone")
-    use = x.groupBy("block", "nm").agg(F.sum("n_labels").alias("uses"), F.max("level").alias("level"))
-    s = similar_pairs(use.select("block", F.col("nm").alias("text")), use.select("block", F.col("nm").alias("text")), stats, 0.3, LEAST_ALONE)
-    s = s.filter("q <> m").select("block", "q", "m", "sim")
-    s = s.join(use.select("block", F.col("nm").alias("q"), F.col("uses").alias("uq")), ["block", "q"]).join(use.select("block", F.col("nm").alias("m"), F.col("uses").alias("um")), ["block", "m"])
+    place = hp.groupBy("h").agg(F.max_by("upv", F.struct(F.coalesce("ps", "pn"), "upv")).alias("upv")).join(region_of, "upv", "left")
+    x = d.join(place, "h", "left").withColumn("block", F.coalesce("rg", "urg", F.lit("*")))
+    x = materialize(x.select("h", "nm", "block", "n_labels"), "variants-lone")
+    use = x.groupBy("block", F.col("nm").alias("q")).agg(F.sum("n_labels").alias("uq"))
+    um = use.select("block", F.col("q").alias("m"), F.col("uq").alias("um"))
+    text = lambda df: df.select("block", F.col("q").alias("text"))
+    s = similar_pairs(text(use), text(use), stats, 0.3, LEAST_ALONE).filter("q <> m")
+    s = s.join(use, ["block", "q"]).join(um, ["block", "m"])
     up = s.filter((F.col("um") > F.col("uq")) | ((F.col("um") == F.col("uq")) & (F.col("m") < F.col("q"))))
-    ptr = up.groupBy("block", "q").agg(F.max_by("m", F.struct("um", "sim", F.negative(F.xxhash64("m")))).alias("to"))
-    ptr = materialize(use.select("block", F.col("nm").alias("q")).join(ptr, ["block", "q"], "left").withColumn("to", F.coalesce("to", "q")), "variants-pointers")
-    for _ in range(jumps):
-        nxt = ptr.select("block", F.col("q").alias("to"), F.col("to").alias("further"))
-        ptr = ptr.join(nxt, ["block", "to"]).select("block", "q", F.col("further").alias("to"))
-    return x.join(ptr.withColumnRenamed("q", "nm"), ["block", "nm"]).select("h", F.concat_ws("|", F.lit("?"), "block", "to").alias("entity"))
+    ptr = up.groupBy("block", "q").agg(F.max_by(F.struct("block", "m"), F.struct("um", "sim", F.negative(F.xxhash64("m")))).alias("p"))
+    lost = text(use.filter("block = '*'"))
+    far = similar_pairs(lost, text(use.filter("block <> '*'")).withColumn("block", F.lit("*")), stats, 0.3, LEAST_ALONE).drop("block").join(um.filter("block <> '*'"), "m")
+    far = far.groupBy("q").agg(F.max_by(F.struct("block", "m"), F.struct("sim", "um", F.negative(F.xxhash64("m", "block")))).alias("far")).withColumn("block", F.lit("*"))
+    ptr = use.join(ptr, ["block", "q"], "left").join(far, ["block", "q"], "left").select("block", "q", F.coalesce("far", "p", F.struct("block", F.col("q").alias("m"))).alias("p"))
+    ptr = ptr.select("block", "q", F.col("p.block").alias("tb"), F.col("p.m").alias("to"))
+    while True:
+        ptr = materialize(ptr, "variants-pointers")
+        nxt = ptr.select(F.col("block").alias("tb"), F.col("q").alias("to"), F.col("tb").alias("b2"), F.col("to").alias("t2"))
+        ptr = ptr.join(nxt, ["tb", "to"]).select("block", "q", "b2", "t2", ((F.col("tb") != F.col("b2")) | (F.col("to") != F.col("t2"))).alias("moved"))
+        ptr = materialize(ptr, "variants-pointers")
+        if ptr.filter("moved").isEmpty():
+            break
+        ptr = ptr.select("block", "q", F.col("b2").alias("tb"), F.col("t2").alias("to"))
+    return x.join(ptr.withColumnRenamed("q", "nm"), ["block", "nm"]).select("h", F.concat_ws("|", F.lit("?"), "b2", "t2").alias("entity"))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:

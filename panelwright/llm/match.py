@@ -147,10 +147,22 @@ def walks(recs: DataFrame, values: DataFrame, per_record: int = 2, seed: int = 1
 
 
 def skip_grams(sentences: DataFrame) -> DataFrame:
-    """``(node, near, n)``: how often a node stands within ``WINDOW`` of another, both ways, and with which; counted before the shuffle."""
+    """``(node, near, n, total)``: for each node the nodes within ``WINDOW`` of it in order, how often each is, and the sum.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    A task counts its sentences first and sends one row per node; the rows of a
+    node are then added up one by one, so no more than one count per node of
+    the vocabulary is held for it, however many tasks there are.
+    """
+    size = TOKENS + ATTRIBUTES
+    counted = pa.schema([("node", pa.int32()), ("near", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+
+    def packed(nodes: list, near: list, n: list) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, near)]).astype(np.int32)
+        flat = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat(near, np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat(n, np.int64)))], schema=counted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, often = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             c = b.column("nodes")
             flat, ends = c.values.to_numpy(zero_copy_only=False).astype(np.int64), c.offsets.to_numpy()
@@ -162,12 +174,36 @@ def skip_grams(sentences: DataFrame) -> DataFrame:
                 x, y = flat[same], flat[same + d]
                 both = x != y
                 found += [x[both] << 32 | y[both], y[both] << 32 | x[both]]
-            weight = np.concatenate([size, np.ones(sum(len(f) for f in found[1:]), np.int64)])
+            weight = np.concatenate([often, np.ones(sum(len(f) for f in found[1:]), np.int64)])
             keys, at = np.unique(np.concatenate(found), return_inverse=True)
-            size = np.bincount(at, weight, len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(size)], names=["node", "near", "n"])
+            often = np.bincount(at, weight, len(keys)).astype(np.int64)
+        node, near = keys >> 32, keys & 0xFFFFFFFF
+        cut = np.flatnonzero(np.diff(node)) + 1
+        yield packed(node[np.concatenate([[0], cut])[: len(node)]].tolist(), np.split(near, cut), np.split(often, cut))
 
-    return sentences.mapInArrow(run, "node int, near int, n bigint").groupBy("node", "near").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(size, np.int64)
+        for b in batches:
+            done: tuple[list, list, list] = [], [], []
+            near, n = b.column("near"), b.column("n")
+            nf, cf, ends = near.values.to_numpy(), n.values.to_numpy(), near.offsets.to_numpy()
+            for i, w in enumerate(b.column("node").to_pylist()):
+                if w != now:
+                    if now is not None:
+                        some = np.flatnonzero(total)
+                        for x, y in zip(done, (now, some, total[some]), strict=True):
+                            x.append(y)
+                        total[:] = 0
+                    now = w
+                total[nf[ends[i] : ends[i + 1]]] += cf[ends[i] : ends[i + 1]]
+            yield packed(*done)
+        if now is not None:
+            some = np.flatnonzero(total)
+            yield packed([now], [some], [total[some]])
+
+    ddl = "node int, near array<int>, n array<bigint>"
+    rows = sentences.mapInArrow(count, ddl).repartition("node").sortWithinPartitions("node").mapInArrow(add, ddl)
+    return rows.withColumn("total", F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
 def _descend(row: tuple[np.ndarray, np.ndarray], mine: np.ndarray, others: np.ndarray, negatives: np.ndarray) -> np.ndarray:
@@ -193,8 +229,7 @@ def train(sentences: DataFrame, seed: int = 11) -> np.ndarray:
     table of vectors, whose size is fixed by ``TOKENS + ATTRIBUTES``.
     """
     spark, nodes = sentences.sparkSession, TOKENS + ATTRIBUTES
-    rows = skip_grams(sentences).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("near", "n"))).alias("z"))  # at most one entry per node of the vocabulary
-    rows = materialize(rows.select("node", F.col("z.near").alias("near"), F.col("z.n").alias("n"), F.aggregate("z.n", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")), "match-pairs-counted")
+    rows = materialize(skip_grams(sentences), "match-skip-grams")
     often = np.zeros(nodes)
     for r in rows.select("node", "total").toLocalIterator():  # at most one row per node of the vocabulary
         often[r["node"]] = r["total"]

@@ -140,7 +140,9 @@ def walks(recs: DataFrame, values: DataFrame, per_record: int = 2, seed: int = 1
     r = r.withColumn("t", F.get("ng", draw("token", F.size("ng")).cast("int"))).withColumn("s", draw("part", F.lit(salts)).cast("int"))
     r = r.join(degree, ["t", "s"], "left").withColumn("i", draw("value", F.col("deg")).cast("int") + 1)
     r = r.join(numbered, ["t", "s", "i"], "left").join(v.select(F.col("vid").alias("vid2"), F.col("a").alias("a2"), F.col("g").alias("g2")), "vid2", "left")
-    some = lambda g, k: F.coalesce(F.transform(F.slice(F.array_sort(F.transform(g, lambda x: F.struct(F.xxhash64(x, "rh").alias("o"), x.alias("x")))), 1, k), lambda z: z["x"]), F.array().cast("array<int>"))
+    # tokens at steps of a drawn width from a drawn place on
+    at = lambda g, i, what: F.get(g, F.pmod(draw(f"first {what}", F.size(g)) + i * (draw(f"width {what}", F.size(g) - 1) + 1), F.size(g)).cast("int"))
+    some = lambda g, k: F.when(F.size(g) > 1, F.array_compact(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: at(g, i, g))))).otherwise(F.coalesce(g, F.array().cast("array<int>")))
     one = lambda c: F.array_compact(F.array(c))
     nodes = F.concat(one("ra"), one("pa"), some("pg", 2), one("na"), some("ng", 6), one("t"), one("a2"), some("g2", 5))
     return r.select(nodes.alias("nodes"))
@@ -178,8 +180,9 @@ def skip_grams(sentences: DataFrame) -> DataFrame:
             keys, at = np.unique(np.concatenate(found), return_inverse=True)
             often = np.bincount(at, weight, len(keys)).astype(np.int64)
         node, near = keys >> 32, keys & 0xFFFFFFFF
-        cut = np.flatnonzero(np.diff(node)) + 1
-        yield packed(node[np.concatenate([[0], cut])[: len(node)]].tolist(), np.split(near, cut), np.split(often, cut))
+        if len(node):
+            cut = np.flatnonzero(np.diff(node)) + 1
+            yield packed(node[np.concatenate([[0], cut])].tolist(), np.split(near, cut), np.split(often, cut))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(size, np.int64)
@@ -206,67 +209,66 @@ def skip_grams(sentences: DataFrame) -> DataFrame:
     return rows.withColumn("total", F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
-def _descend(row: tuple[np.ndarray, np.ndarray], mine: np.ndarray, others: np.ndarray, negatives: np.ndarray) -> np.ndarray:
-    """One node's vector after a step down the skip-gram loss of all its pairs, with shared negative samples."""
-    near, n = row
-    x = others[near]
-    up = (n / (1 + np.exp(np.clip(x @ mine, -30, 30)))) @ x
-    z = others[negatives]
-    down = (1 / (1 + np.exp(np.clip(-(z @ mine), -30, 30)))) @ z * (PER_PAIR * n.sum() / len(negatives))
-    return mine + STEP * ((up - down) / n.sum())
+def _stepped(node: np.ndarray, near: np.ndarray, n: np.ndarray, ends: np.ndarray, u: np.ndarray, negatives: np.ndarray) -> np.ndarray:
+    """The vectors of some nodes after a step down the skip-gram loss of all their pairs, with shared negative samples."""
+    mine, owner = u[node], np.repeat(np.arange(len(node)), np.diff(ends))
+    total = np.add.reduceat(n, ends[:-1])
+    x = u[near]
+    pull = n / (1 + np.exp(np.clip(np.einsum("ed,ed->e", x, mine[owner]), -30, 30)))
+    up = np.add.reduceat(x * pull[:, None], ends[:-1], axis=0)
+    z = u[negatives]
+    down = (1 / (1 + np.exp(np.clip(-(mine @ z.T), -30, 30)))) @ z * (PER_PAIR * total / len(negatives))[:, None]
+    return mine + STEP * (up - down) / total[:, None]
 
 
 def train(sentences: DataFrame, seed: int = 11) -> np.ndarray:
     """Skip-gram vectors of the token buckets, learned with negative sampling; buckets that were not met have zeros.
 
     The pairs of all walks are counted once, grouped by node and written. A
-    round then takes every node a step down the loss of all its pairs, both as
-    the centre and as the context, against the vectors of the round before, so
-    it needs no order of sentences and no merging of diverging copies: the
-    outcome does not depend on how the data are spread. Negative samples are
-    drawn per round by the nodes' frequencies to the power 0.75. Vectors start
-    from random signs summed over the nodes around each. The driver holds the
-    table of vectors, whose size is fixed by ``TOKENS + ATTRIBUTES``.
+    round then takes every node a step down the loss of all its pairs, against
+    the vectors of the round before, so it needs no order of sentences and no
+    merging of diverging copies: the outcome does not depend on how the data
+    are spread. As walks are counted both ways, the vectors of centres and of
+    contexts would stay equal and are one table. Negative samples are drawn per
+    round by the nodes' frequencies to the power 0.75. Vectors start from
+    random signs summed over the nodes around each. The driver holds the table,
+    whose size is fixed by ``TOKENS + ATTRIBUTES``.
     """
     spark, nodes = sentences.sparkSession, TOKENS + ATTRIBUTES
     rows = materialize(skip_grams(sentences), "match-skip-grams")
     often = np.zeros(nodes)
-    for r in rows.select("node", "total").toLocalIterator():  # at most one row per node of the vocabulary
+    for r in rows.select("node", "total").collect():  # at most one row per node of the vocabulary
         often[r["node"]] = r["total"]
     if not often.any():
         return np.zeros((TOKENS, DIM), np.float32)
     rnd = np.random.default_rng(seed)
-    signs = rnd.choice(np.array([-1.0, 1.0], np.float32), (nodes, DIM)) / math.sqrt(DIM)
     rare = np.log(1 + often.sum() / np.maximum(often, 1))
-    u = v = (signs * rare[:, None]).astype(np.float32)
+    u = (rnd.choice(np.array([-1.0, 1.0]), (nodes, DIM)) * rare[:, None]).astype(np.float32)
 
-    def round_of(step: int, shared) -> pd.DataFrame:  # noqa: ANN001
+    def round_of(step: int, shared) -> pa.Table:  # noqa: ANN001
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            u, v, negatives = shared.value
-            for b in batches:
-                near, n = b.column("near"), b.column("n")
-                nf, cf, ends = near.values.to_numpy(), n.values.to_numpy().astype(np.float32), near.offsets.to_numpy()
-                out = []
-                for i, w in enumerate(b.column("node").to_pylist()):
-                    row = nf[ends[i] : ends[i + 1]], cf[ends[i] : ends[i + 1]]
+            u, negatives = shared.value
+            for whole in batches:
+                for k in range(0, whole.num_rows, 512):
+                    b = whole.slice(k, 512)
+                    near, ends = b.column("near").flatten().to_numpy(), b.column("near").offsets.to_numpy()
+                    n, ends, node = b.column("n").flatten().to_numpy().astype(np.float32), ends - ends[0], b.column("node").to_numpy()
                     if step:
-                        out.append(np.concatenate([_descend(row, u[w], v, negatives), _descend(row, v[w], u, negatives)]))
+                        x = _stepped(node, near, n, ends, u, negatives)
                     else:
-                        x = row[1] @ u[row[0]]
-                        x = x / max(np.linalg.norm(x), 1e-9)
-                        out.append(np.concatenate([x, x]))
-                vectors = np.asarray(out, np.float32).reshape(-1, 2 * DIM)
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.FixedSizeListArray.from_arrays(pa.array(vectors.reshape(-1)), 2 * DIM).cast(pa.list_(pa.float32()))], names=["node", "x"])
+                        x = np.add.reduceat(u[near] * n[:, None], ends[:-1], axis=0)
+                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, DIM, dtype=np.int32)), pa.array(x.astype(np.float32).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([b.column("node"), cells], names=["node", "x"])
 
         return rows.select("node", "near", "n").mapInArrow(run, "node int, x array<float>").toArrow()
 
     share = often**0.75 / (often**0.75).sum()
     for step in range(ROUNDS + 1):
-        shared = spark.sparkContext.broadcast((u, v, rnd.choice(nodes, NEGATIVES, p=share)))  # of fixed size
+        shared = spark.sparkContext.broadcast((u, rnd.choice(nodes, NEGATIVES, p=share)))  # of fixed size
         got = round_of(step, shared)
-        x = np.asarray(got.column("x").combine_chunks().flatten(), np.float32).reshape(-1, 2 * DIM)
-        u, v = u.copy(), v.copy()
-        u[got.column("node").to_numpy()], v[got.column("node").to_numpy()] = x[:, :DIM], x[:, DIM:]
+        u = u.copy()
+        u[got.column("node").to_numpy()] = np.asarray(got.column("x").combine_chunks().flatten(), np.float32).reshape(-1, DIM)
         shared.destroy()
     out = np.where(often[:TOKENS, None] > 0, u[:TOKENS], 0)
     seen = often[:TOKENS] > 0

@@ -23,7 +23,7 @@ from ..operators.joins import null_safe_join
 from ..session import materialize
 from .profiling import exact_quantiles
 
-#: Powers of ten of the units: thousandths and millionths come from amounts divided twice.
+#: Powers of ten of the units, unless a caller names others: thousandths and millionths come from amounts divided twice.
 STATES = (-6, -3, 0, 3, 6)
 #: Costs (negative log likelihoods): how fast they rise with the deviation, and where they end, as real breaks happen.
 #: ``SPAN`` times before and after are compared for the expected level.
@@ -53,12 +53,12 @@ def header_exponent(labels: Column, about: str) -> Column:
     return F.try_element_at(F.filter(inside, lambda x: x.isNotNull()), F.lit(1))
 
 
-def _viterbi(level: list, costs: list, n_states: int) -> list[list[int]]:
+def _viterbi(level: list, costs: list, states: tuple[int, ...] = STATES) -> list[list[int]]:
     """Best state index per step of each sequence; sequences are padded and run side by side."""
     d, t_max = len(level), max((len(x) for x in level), default=0)
     if t_max == 0:
         return [[] for _ in range(d)]
-    s = np.asarray(STATES, float)
+    s, n_states = np.asarray(states, float), len(states)
     lv, em, n = np.zeros((d, t_max)), np.zeros((d, t_max, n_states)), np.array([len(x) for x in level])
     for i in range(d):
         lv[i, : n[i]] = level[i]
@@ -80,16 +80,19 @@ def _viterbi(level: list, costs: list, n_states: int) -> list[list[int]]:
     return [out[i, : n[i]].tolist() for i in range(d)]
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for i in range(0, len(pdf), 4096):
-            part = pdf.iloc[i : i + 4096]
-            paths = _viterbi(list(part["levels"]), list(part["costs"]), len(STATES))
-            yield pd.DataFrame({"device": part["device"].to_numpy(), "times": list(part["times"]), "bins": list(part["bins"]), "path": [[STATES[k] for k in x] for x in paths]})
+def _decoder(states: tuple[int, ...]):  # noqa: ANN202
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 4096):
+                part = pdf.iloc[i : i + 4096]
+                paths = _viterbi(list(part["levels"]), list(part["costs"]), states)
+                yield pd.DataFrame({"device": part["device"].to_numpy(), "times": list(part["times"]), "bins": list(part["bins"]), "path": [[states[k] for k in x] for x in paths]})
 
+    return decode
 
-def decode_units(rows: DataFrame) -> DataFrame:
-    """The unit of every value.
+
+def decode_units(rows: DataFrame, states: tuple[int, ...] = STATES) -> DataFrame:
+    """The unit of every value, one of the powers of ten in ``states``.
 
     ``rows`` has ``id, device, time, value, size, kind, source, said``: ``size``
     scales with the expected level (a head count), ``kind`` names comparable
@@ -127,27 +130,27 @@ def decode_units(rows: DataFrame) -> DataFrame:
     dev = F.coalesce(F.col("rel") - F.coalesce("m1", "m2"), F.col("l") - F.col("m3"))
     r = r.select("id", "device", "time", "source", "said", "l", dev.alias("dev"))
     cost = lambda s: F.coalesce(F.least(F.pow((F.col("dev") - s) / LEVEL_SD, 2) / 2, F.lit(LEVEL_CAP)), F.lit(0.0))
-    near = F.array_min(F.array(*[F.struct(F.abs(F.col("dev") - s).alias("d"), F.lit(s).alias("s")) for s in STATES]))["s"]
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col("dev") - s).alias("d"), F.lit(s).alias("s")) for s in states]))["s"]
     # read three times below, so written once; the plan before it ends here
     r = materialize(r.withColumn("near", near), "unit-rows")
     # how the rows of the same file were recorded; a file's count is one record per task before the shuffle
-    files = r.filter("source is not null").groupBy("source").agg(F.count("near").alias("fn"), *[F.count_if(F.col("near") == s).alias(f"f{i}") for i, s in enumerate(STATES)])
+    files = r.filter("source is not null").groupBy("source").agg(F.count("near").alias("fn"), *[F.count_if(F.col("near") == s).alias(f"f{i}") for i, s in enumerate(states)])
     bare = r.withColumn("bin", F.floor(F.col("l") * 10).cast("int"))
     r = null_safe_join(r, files, ["source"])
-    for i, s in enumerate(STATES):
-        share = F.when(F.col("fn") > 0, -F.log((F.col(f"f{i}") + 0.3) / (F.col("fn") + 0.3 * len(STATES)))).otherwise(F.lit(0.0))
+    for i, s in enumerate(states):
+        share = F.when(F.col("fn") > 0, -F.log((F.col(f"f{i}") + 0.3) / (F.col("fn") + 0.3 * len(states)))).otherwise(F.lit(0.0))
         said = F.when(F.col("said").isNotNull() & (F.col("said") != s), F.lit(SAID)).otherwise(F.lit(0.0))
         r = r.withColumn(f"c{i}", cost(s) + share + said)
     r = r.withColumn("bin", F.floor(F.col("l") * 10).cast("int"))
     lone = F.col("device").isNull() | F.col("time").isNull()
-    alone = F.array_min(F.array(*[F.struct(F.col(f"c{i}").alias("c"), F.abs(F.lit(s)).alias("z"), F.lit(s).alias("s")) for i, s in enumerate(STATES)]))["s"]
+    alone = F.array_min(F.array(*[F.struct(F.col(f"c{i}").alias("c"), F.abs(F.lit(s)).alias("z"), F.lit(s).alias("s")) for i, s in enumerate(states)]))["s"]
     single = r.filter(lone).select("id", alone.alias("exponent"))
     r = r.filter(~lone)
-    cells = r.groupBy("device", "time", "bin").agg(F.avg("l").alias("l"), *[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(STATES))])
-    seq = cells.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("time", "bin", "l", F.array(*[f"c{i}" for i in range(len(STATES))]).alias("c")))).alias("q"))
+    cells = r.groupBy("device", "time", "bin").agg(F.avg("l").alias("l"), *[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(states))])
+    seq = cells.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("time", "bin", "l", F.array(*[f"c{i}" for i in range(len(states))]).alias("c")))).alias("q"))
     seq = seq.select("device", F.col("q.time").alias("times"), F.col("q.bin").alias("bins"), F.col("q.l").alias("levels"), F.flatten("q.c").alias("costs"))
     kinds = dict(r.dtypes)
-    out = seq.mapInPandas(_decode, f"device {kinds['device']}, times array<{kinds['time']}>, bins array<int>, path array<int>")
+    out = seq.mapInPandas(_decoder(states), f"device {kinds['device']}, times array<{kinds['time']}>, bins array<int>, path array<int>")
     out = out.select(F.col("device").alias("_d"), F.explode(F.arrays_zip("times", "bins", "path")).alias("z")).select("_d", F.col("z.times").alias("_t"), F.col("z.bins").alias("_b"), F.col("z.path").alias("exponent"))
     got = bare.filter(~lone).join(out, (F.col("device") == F.col("_d")) & (F.col("time") == F.col("_t")) & (F.col("bin") == F.col("_b"))).select("id", "exponent")
     return got.unionByName(single)

@@ -155,9 +155,32 @@ def test_viterbi_equals_brute_force():
                 j = (lv[t] - lv[t - 1]) - (s[p[t]] - s[p[t - 1]])
                 c += min((j / units.JUMP_SD) ** 2 / 2, units.JUMP_CAP) + units.SWITCH * (p[t] != p[t - 1])
             cost[p] = c
-        got = tuple(units._viterbi([lv], [em], len(s))[0])
+        got = tuple(units._viterbi([lv], [em], s)[0])
         assert cost[got] == pytest.approx(min(cost.values()))
-    assert units._viterbi([], [], len(s)) == [] and np.isfinite(1.0)
+    assert units._viterbi([], [], s) == [] and np.isfinite(1.0)
+
+
+def odd_device(spark, states):
+    """40 devices alike; 'odd' lies between two units by its level, and once in a file in which all others have the wrong one."""
+    rnd, rows = random.Random(3), []
+    for t in range(2000, 2010):
+        for d in range(40):
+            v = 100 * rnd.uniform(0.8, 1.25) * 1.05 ** (t - 2000)
+            rows.append((len(rows), f"d{d}", t, v * (10.0 ** states[1] if t == 2005 else 1), 1e4, "m", t, states[1] if t == 2005 else None))
+        far = 10.0 ** (0.53 * states[1])
+        rows.append((len(rows), "odd", t, 100 * far * 1.05 ** (t - 2000), 1e4, "m", t, states[1] if t == 2005 else None))
+    return spark.createDataFrame(rows, "id long, device string, time int, value double, size double, kind string, source long, said int")
+
+
+@pytest.mark.parametrize("states", [(0, 3), (0, 2), (0, 3, 6)])
+def test_paths_decide_where_files_and_remarks_mislead(spark, states):
+    df = odd_device(spark, states)
+    odd = {r["id"]: r["time"] for r in df.filter("device = 'odd'").collect()}
+    true = {r["id"]: states[1] if r["time"] == 2005 and r["device"] != "odd" else 0 for r in df.collect()}
+    path = {r["id"]: r["exponent"] for r in units.decode_units(df, states).collect()}
+    alone = {r["id"]: r["exponent"] for r in units.decode_units(df.withColumn("device", F.lit(None).cast("string")), states).collect()}
+    assert path == true
+    assert {odd[i] for i, e in alone.items() if e != true[i]} == {2005}  # by its emission costs alone the odd one is taken for the others' unit
 
 
 def test_stated_exponent(spark):

@@ -9,7 +9,6 @@ blocks (Ratcliff and Obershelp), computed in Arrow batches on blocked pairs.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -182,40 +181,38 @@ def fuzzy_tiers(rest: DataFrame, cat: DataFrame) -> DataFrame:
     c = cat.select("psgc10", F.col("key").alias("ckey"), F.col("prov").alias("cprov"), F.col("level").alias("clevel"))
     la, lb = F.length("key"), F.length("ckey")
     grams = lambda x: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3)))))
-    todo, out = k, []
 
-    def floor(least: float, margin: float | None) -> float:
-        return least - (margin or 0.0)  # a runner-up below this does not matter
+    def scored(pairs: DataFrame, low: float) -> DataFrame:
+        near = pairs.filter(F.abs(la - lb) <= (1 - low) * (la + lb)).withColumn("s", ratio_from(low)("key", "ckey")).filter("s > 0")
+        return near.select("rid", "pord", "ord", "psgc10", (F.col("want") == F.col("clevel")).alias("same"), "s")
 
-    def settle(pairs: DataFrame, tier: int, least: float, margin: float | None) -> None:
-        nonlocal todo
-        low = floor(least, margin)
-        b = _best_two(pairs.filter(F.abs(la - lb) <= (1 - low) * (la + lb)).withColumn("s", ratio_from(low)("key", "ckey"))).filter(F.col("s") >= least)
+    def fitting(pairs: DataFrame, tier: int, least: float, margin: float | None) -> DataFrame:
+        b = _best_two(pairs).filter(F.col("s") >= least)
         if margin is not None:
             b = b.filter(F.col("s") - F.col("second") > margin)
         b = b.groupBy("rid").agg(F.min_by(F.struct("psgc10", "s"), F.struct("pord", "ord")).alias("b"))
-        # each tier is written, as the next one and the result read it
-        r = materialize(b.select("rid", "b.psgc10", F.lit(tier).alias("tier"), F.round("b.s", 4).alias("score")), f"tier-{tier}")
-        out.append(r)
-        todo = todo.join(r.select("rid"), "rid", "left_anti")
-
-    inside = lambda: todo.select("rid", "want", "ord", "key", F.posexplode("provs").alias("pord", "prov"))
-    t = inside()
-    settle(t.join(c, (t["prov"] == c["cprov"]) & (t["want"] == c["clevel"])), 3, *FUZZY["3"])
-    t = inside()
-    settle(t.join(c, t["prov"] == c["cprov"]), 3, *FUZZY["3b"])
+        return b.select("rid", "b.psgc10", F.lit(tier).alias("tier"), F.round("b.s", 4).alias("score"))
+
+    def both(pairs: DataFrame, name: str, first: tuple, second: tuple) -> DataFrame:
+        """A tier within the level and then one at any level, from the same scored pairs; pairs and result are read more than once."""
+        pairs = materialize(pairs, f"pairs-{name}")
+        one = fitting(pairs.filter("same"), *first)
+        two = fitting(pairs.join(one.select("rid"), "rid", "left_anti"), *second)
+        return materialize(one.unionByName(two), f"tier-{name}")
+
+    floor = min(least - (margin or 0.0) for least, margin in (FUZZY["3"], FUZZY["3b"]))  # a runner-up below this does not matter
+    inside = k.select("rid", "want", "ord", "key", F.posexplode("provs").alias("pord", "prov"))
+    local = both(scored(inside.join(c, inside["prov"] == c["cprov"]), floor), "3", (3, *FUZZY["3"]), (3, *FUZZY["3b"]))
+
+    floor = min(least - (margin or 0.0) for least, margin in (FUZZY["4"], FUZZY["5"]))
     cg = c.withColumn("g", grams(F.col("ckey")))
-    for tier, level in ((4, True), (5, False)):
-        least, margin = FUZZY[str(tier)]
-        t = todo.select("rid", "want", "ord", "key", F.lit(0).alias("pord")).withColumn("g", grams(F.col("key")))
-        cond = (t["g"] == cg["g"]) & (F.abs(la - lb) <= (1 - floor(least, margin)) * (la + lb))
-        if level:
-            cond = cond & (t["want"] == cg["clevel"])
-        shared = t.join(cg, cond).groupBy("rid", "pord", "ord", "key", "ckey", "psgc10").agg(F.count(F.lit(1)).alias("n"))
-        # m letters in matching blocks leave at least m - 2 * blocks common trigrams, of which a few may repeat
-        m = F.ceil(floor(least, margin) * (la + lb) / 2)
-        settle(shared.filter(F.col("n") >= F.greatest(F.lit(1), m - 2 * (la + lb - 2 * m + 1) - 2)).drop("n"), tier, least, margin)
-    return reduce(DataFrame.unionByName, out)
+    t = k.join(local.select("rid"), "rid", "left_anti").select("rid", "want", "ord", "key", F.lit(0).alias("pord")).withColumn("g", grams(F.col("key")))
+    cond = (t["g"] == cg["g"]) & (F.abs(la - lb) <= (1 - floor) * (la + lb))
+    shared = t.join(cg, cond).groupBy("rid", "pord", "ord", "want", "key", "ckey", "clevel", "psgc10").agg(F.count(F.lit(1)).alias("n"))
+    # m letters in matching blocks leave at least m - 2 * blocks common trigrams, of which a few may repeat
+    m = F.ceil(floor * (la + lb) / 2)
+    shared = shared.filter(F.col("n") >= F.greatest(F.lit(1), m - 2 * (la + lb - 2 * m + 1) - 2))
+    return local.unionByName(both(scored(shared, floor), "4", (4, *FUZZY["4"]), (5, *FUZZY["5"])))
 
 
 def crosswalk(records: DataFrame, master: DataFrame, name: str = "lgu_name", province: str = "province", level: str = "lgu_type", province_aliases: DataFrame | None = None, name_aliases: DataFrame | None = None) -> DataFrame:

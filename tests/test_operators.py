@@ -107,12 +107,33 @@ def test_resolver_tiers(spark):
     rec = [("San Jose", "Alpha", "Mun."), ("SAN JOSE", "Beta", "Municipality"), ("Kalbario", "Nowhere", "M"), ("Kalbarlo", "Alpha", "M"), ("Montemayor (Beta)", None, "M"), ("Zzz", "Alpha", "M"), (None, "Alpha", "M"), ("Verdeluna del Norta", "", "M")]
     w = {r["lgu_name"]: (r["psgc10"], r["tier"]) for r in resolve.crosswalk(spark.createDataFrame(rec, "lgu_name string, province string, lgu_type string"), master(spark)).collect()}
     assert w["San Jose"] == ("01", 1) and w["SAN JOSE"] == ("02", 1) and w["Kalbario"] == ("03", 2)
-    assert w["Kalbarlo"] == ("03", 3) and w["Montemayor (Beta)"] == ("06", 2) and w["Zzz"] == (None, 0) and w[None] == (None, 0)
+    assert w["Kalbarlo"] == ("03", 3) and w["Montemayor (Beta)"] == ("06", 1) and w["Zzz"] == (None, 0) and w[None] == (None, 0)
     assert w["Verdeluna del Norta"] == ("08", 4)
     empty = resolve.crosswalk(spark.createDataFrame(rec[:1], "lgu_name string, province string, lgu_type string"), master(spark).limit(0)).first()
     assert empty["tier"] == 0
 
 
+def test_aliases_inside_the_cascade(spark):
+    rec = [("Kalbario", "Old Alpha", "M"), ("Oldmayor", "Beta", "M"), ("Oldmayor", "Gamma", "M"), ("First Alpha", "First Alpha", "Province"), ("San Jose", "Older Alpha", "M")]
+    provinces = spark.createDataFrame([("old alpha", "alpha"), ("older alpha", "old alpha"), ("first alpha", "alpha")], "key string, alias string")
+    names = spark.createDataFrame([("beta", "oldmayor", "montemayor"), (None, "unused", "kalbario")], "prov string, alias string, key string")
+    df = spark.createDataFrame(rec, "lgu_name string, province string, lgu_type string")
+    w = {(r["lgu_name"], r["province"]): (r["psgc10"], r["tier"]) for r in resolve.crosswalk(df, master(spark), province_aliases=provinces, name_aliases=names).collect()}
+    assert w["Kalbario", "Old Alpha"] == ("03", 1) and w["San Jose", "Older Alpha"] == ("01", 1)  # by one step and by two
+    assert w["Oldmayor", "Beta"] == ("06", 1) and w["Oldmayor", "Gamma"][1] != 1  # in its province only
+    assert w["First Alpha", "First Alpha"] == ("04", 1)  # a province's own name follows the aliases too
+    bare = {(r["lgu_name"], r["province"]): r["tier"] for r in resolve.crosswalk(df, master(spark)).collect()}
+    assert bare["Kalbario", "Old Alpha"] != 1 and bare["San Jose", "Older Alpha"] != 1
+
+
+def test_first_candidate_with_a_fit_decides_its_tier(spark):
+    # both bracket forms fit someone; the earlier one is taken although the later one is nearer
+    m = spark.createDataFrame([("01", "Kalbaroso", "Alpha", "municipality"), ("02", "Vinemaro", "Alpha", "municipality")], "psgc10 string, name string, province_name string, level string")
+    rec = spark.createDataFrame([("Kalbaruso (Vinemara)", "Alpha", "M")], "lgu_name string, province string, lgu_type string")
+    r = resolve.crosswalk(rec, m).first()
+    assert (r["psgc10"], r["tier"]) == ("01", 3)
+
+
 def test_block_ratio_is_the_stdlib_one(spark):
     pairs = [("abcd", "bcda"), ("san jose", "san juan"), ("", "x"), ("a", "a")]
     df = spark.createDataFrame(pairs, "a string, b string")

@@ -55,3 +55,11 @@ def overlapping(df: DataFrame, labels: dict[str, Column], value: str, digits: in
 def joined_distinct(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """Sorted distinct texts of a group, joined by a bar."""
     return df.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_set(value)), "|").alias(out))
+
+
+def population_report(pop: DataFrame, code: str, year: str, source: str, value: str) -> DataFrame:
+    """``(section, item, n)``: rows, codes, years covered, rows with a count, and codes per source, each from one aggregate."""
+    v = F.nanvl(F.col(value), F.lit(None).cast("double"))
+    a = pop.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(code).alias("codes"), F.min(year).cast("bigint").alias("first_year"), F.max(year).cast("bigint").alias("last_year"), F.count(v).alias("with_value"))
+    head = a.select(F.explode(F.array(*[F.struct(F.lit("table").alias("section"), F.lit(c).alias("item"), F.col(c).cast("bigint").alias("n")) for c in a.columns])).alias("r")).select("r.*")
+    return head.unionByName(pop.groupBy(F.col(source).alias("item")).agg(F.count_distinct(code).alias("n")).select(F.lit("source").alias("section"), "item", "n"))

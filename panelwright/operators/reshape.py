@@ -60,3 +60,13 @@ def collapse(df: DataFrame, is_part, key: list[str], means: list[str], keep: dic
     for c, v in keep.items():
         parts = parts.withColumn(c, F.lit(v))
     return df.filter(~is_part).unionByName(parts, allowMissingColumns=True)
+
+
+def drop_empty_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows of which any column holds something; all columns, or those of ``columns``."""
+    return df.dropna("all", subset=columns)
+
+
+def preview(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """The first ``n`` rows by ``order``, for a report."""
+    return df.orderBy(*order).limit(n)

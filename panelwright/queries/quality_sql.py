@@ -49,3 +49,27 @@ SQL = {
 UNION ALL SELECT column_name, load_id, 'centre' FROM q WHERE prev IS NOT NULL AND column_name <> 'income_class' AND greatest(med, pmed) > 0 AND med IS NOT NULL AND pmed IS NOT NULL AND greatest(med, pmed) >= 4 * least(med, pmed)
 UNION ALL SELECT column_name, load_id, 'form' FROM q WHERE prev IS NOT NULL AND column_name = 'income_class' AND n > miss AND pn > pmiss AND abs(bad / (n - miss) - pbad / (pn - pmiss)) >= 0.15 - 1e-9""",
 }
+
+
+def _filled() -> str:
+    """Medians of four levels, the finest with five real values taken; every column of the table beside flags and levels."""
+    levels = (["psgc10", "period"], ["province", "lgu_type", "fiscal_year"], ["lgu_type", "fiscal_year"], [])
+    base = ", ".join(f"(SELECT {c} FROM (SELECT {f} AS x)) AS m_{f}" for f, c in _MISSING.items())
+    ctes = [f"p AS (SELECT *, CAST(floor(fiscal_year / 5) AS INTEGER) AS period, {base} FROM panel_ml)"]
+    joins, picks = "", []
+    for f in _MISSING:
+        for i, level in enumerate(levels, 1):
+            keys = ", ".join(level)
+            group = f" GROUP BY {keys} HAVING count(*) >= 5" if level else ""
+            ctes.append(f"{f}_{i} AS (SELECT {keys + ', ' if level else ''}median({f}) AS v FROM p WHERE NOT m_{f}{group})")
+            on = " AND ".join(f"p.{k} IS NOT DISTINCT FROM {f}_{i}.{k}" for k in level) or "true"
+            joins += f" LEFT JOIN {f}_{i} ON {on}"
+        fill = "coalesce(" + ", ".join(f"{f}_{i}.v" for i in range(1, 5)) + ")"
+        at = "CASE " + " ".join(f"WHEN {f}_{i}.v IS NOT NULL THEN {i}" for i in range(1, 5)) + " END"
+        picks.append((f, fill, at))
+    replaced = ", ".join(f"CASE WHEN m_{f} THEN {fill} ELSE p.{f} END AS {f}" for f, fill, _ in picks)
+    flags = ", ".join(f"m_{f} AS {f}_filled, CASE WHEN m_{f} THEN {at} ELSE 0 END AS {f}_level" for f, _, at in picks)
+    return "WITH " + ", ".join(ctes) + f" SELECT p.* EXCLUDE (period, {', '.join('m_' + f for f in _MISSING)}) REPLACE ({replaced}, make_timestamp(epoch_us(p.loaded_at)) AS loaded_at), {flags} FROM p{joins}"
+
+
+SQL["p5_filled"] = _filled()

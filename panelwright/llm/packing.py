@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Items that one part of the ranks is meant to hold.
+PART = 50_000
 #: Grid of sizes for the fit, most items of a pattern, smallest item (in capacity / grid) that patterns are made of.
 GRID, DEPTH, SMALLEST = 64, 4, 10
 
@@ -168,23 +170,24 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[int, int], salt
     that is packed like an item; no other item is split. ``container_id`` counts
     from 0 within the spec, packed containers first.
 
-    Ranks within a size are counted by ``salts`` parts of the keys (64, or four
-    per core of the cluster if that is more), so a size that a third of all
-    items share is still ranked by many tasks. What the
-    driver gets is one row per size up to the capacity.
+    Ranks within a size are counted by ``salts`` parts of the keys (64, or one
+    for every ``PART`` items if that is more), so a size that a third of all
+    items share is still ranked by many tasks; the number follows the items
+    alone, so every cluster gives the same containers. What the driver gets is
+    one row per size up to the capacity.
 
     Defined results: items of size 0 or null get one row with part 0 and a null
     container; equal items are told apart by their key; repeated rows are each
     packed; an empty table gives no rows.
     """
     ktype = dict(items.dtypes)[key]
-    salts = salts or max(64, 4 * items.sparkSession.sparkContext.defaultParallelism)
     caps = F.explode(F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("bigint").alias("cap")) for s, c in sorted(capacities.items())])).alias("c")
     x = items.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("n"), caps).select("k", "n", "c.*")
     x = x.withColumn("full", F.floor((F.col("n") - 1) / F.col("cap"))).withColumn("full", F.greatest("full", F.lit(0)))
     x = x.withColumn("rest", F.col("n") - F.col("full") * F.col("cap"))
-    x = x.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
     x = materialize(x, "pack-items")
+    salts = salts or max(64, -(-x.count() // PART))
+    x = x.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
     counts = x.filter("rest > 0").groupBy("spec_id", "rest", "salt").agg(F.count(F.lit(1)).alias("m"))
     counts = materialize(counts, "pack-counts")
     hist = counts.groupBy("spec_id", "rest").agg(F.sum("m").alias("m")).collect()  # at most one row per size up to the capacity

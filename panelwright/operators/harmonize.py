@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_note, squeeze
+from .report import medians
 
 
 def flatten_header(rows: DataFrame, sheet: str = "sheet", row: str = "row_idx", cells: str = "cells") -> DataFrame:
@@ -89,8 +90,7 @@ def era_of(label: Column, year: Column, rules: list[tuple[str, str]], by_year: l
 
 def rescale(df: DataFrame, group: list[str], probe: str, measures: list[str], limit: float = 1e6, factor: float = 1e6) -> DataFrame:
     """All measures of a group divided by ``factor`` if the median of ``probe`` exceeds ``limit``."""
-    med = df.groupBy(*group).agg(F.percentile(F.nanvl(F.col(probe), F.lit(None).cast("double")), 0.5).alias("__med"))
-    j = df.join(med, group, "left")
+    j = df.join(medians(df, group, F.col(probe), "__med"), group, "left")
     return j.select(*[(F.when(F.col("__med") > limit, F.col(c) / factor).otherwise(F.col(c)).alias(c) if c in measures else F.col(c)) for c in df.columns])
 
 
@@ -101,9 +101,9 @@ def common_scale(df: DataFrame, group: list[str], probe: str, measures: list[str
     compared with the median of all groups' medians. Groups below it stay.
     """
     x = F.nanvl(F.col(probe), F.lit(None).cast("double"))
-    med = df.filter(x > 0).groupBy(*group).agg(F.percentile(F.log10(x), 0.5).alias("__med"))
+    med = medians(df.filter(x > 0), group, F.log10(x), "__med")
     up = F.greatest(F.round((F.col("__med") - F.col("__usual")) / 3), F.lit(0.0))
-    factor = med.crossJoin(med.agg(F.percentile("__med", 0.5).alias("__usual"))).select(*group, F.pow(F.lit(1000.0), up).alias("__factor"))  # one row of the usual
+    factor = med.crossJoin(medians(med, [], F.col("__med"), "__usual")).select(*group, F.pow(F.lit(1000.0), up).alias("__factor"))  # one row of the usual
     j = df.join(factor, group, "left")
     return j.select(*[((F.col(c) / F.coalesce("__factor", F.lit(1.0))).alias(c) if c in measures else F.col(c)) for c in df.columns])
 

@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..quality.profiling import exact_quantiles
+from .joins import null_safe_join
+
+
+def medians(df: DataFrame, group: list[str], value: Column, out: str = "median") -> DataFrame:
+    """The exact median of each group's values that are neither null nor NaN, from counted values, so no task holds a whole group."""
+    v = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    counts = df.select(*group, v.alias("__v")).filter("__v is not null").groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    return exact_quantiles(counts, group, "__v", "__n").select(*group, F.col("quantile").alias(out))
+
 
 def summary_by(df: DataFrame, group: str, value: str, digits: int = 3) -> DataFrame:
     """Count, mean and median of the non-null values of a group."""
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    return df.groupBy(group).agg(F.count(v).alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.percentile(v, 0.5), digits).alias("median"))
+    a = df.groupBy(group).agg(F.count(v).alias("n"), F.round(F.avg(v), digits).alias("mean"))
+    return null_safe_join(a, medians(df, [group], F.col(value)), [group]).withColumn("median", F.round("median", digits))
 
 
 def by_bucket(df: DataFrame, time: str, value: str, buckets: list[tuple[str, int, int]], digits: int = 4) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.codes import clean_code
 from ..functions.numbers import parse_number
-from ..operators import harmonize, resolve
+from ..operators import harmonize, report, resolve
 from .panel import ORPHAN_NAMES
 
 
@@ -35,8 +35,8 @@ def harmonize_sheets(rows: DataFrame, rules: DataFrame, identifiers: list[str],
 def harmonize_report(rows: DataFrame, table: DataFrame, probe: str) -> DataFrame:
     """One row per sheet: rows read and kept, units named, median of the probe."""
     a = rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_raw"))
-    b = table.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("lgu_name").alias("n_lgus"), F.percentile(probe, 0.5).alias("median"))
-    return a.join(b, "sheet", "left")
+    b = table.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("lgu_name").alias("n_lgus"))
+    return a.join(b, "sheet", "left").join(report.medians(table, ["sheet"], F.col(probe)), "sheet", "left")
 
 
 def second_source(records: DataFrame, master: DataFrame, aliases: DataFrame, name: str = "lgu_name", province: str = "province", level: str = "lgu_type") -> DataFrame:

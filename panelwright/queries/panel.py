@@ -332,8 +332,10 @@ def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_summary(spark: SparkSession, d: str) -> DataFrame:
-    p = _t(spark, d, "panel_ml").groupBy("psgc10").agg(F.min_by("lgu_name", F.struct("fiscal_year", "row_id")).alias("first_name"), F.round(F.percentile(_n("nta_dependency"), 0.5), 6).alias("median_nta"), F.round(F.avg(_n("population")), 3).alias("mean_population"))
-    return p
+    t = _t(spark, d, "panel_ml")
+    p = t.groupBy("psgc10").agg(F.min_by("lgu_name", F.struct("fiscal_year", "row_id")).alias("first_name"), F.round(F.avg(_n("population")), 3).alias("mean_population"))
+    m = report.medians(t, ["psgc10"], F.col("nta_dependency"), "median_nta")
+    return null_safe_join(p, m, ["psgc10"]).select("psgc10", "first_name", F.round("median_nta", 6).alias("median_nta"), "mean_population")
 
 
 def topk_per_group(spark: SparkSession, d: str) -> DataFrame:

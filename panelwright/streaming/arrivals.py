@@ -25,16 +25,22 @@ def windowed_counts(stream: DataFrame, time: str, key: str, window: str = "1 day
 
 
 def merge_latest(target: str, keys: list[str], order: str):  # noqa: ANN201
-    """A ``foreachBatch`` function that keeps the latest row of each key in a table of alternating versions."""
+    """A ``foreachBatch`` function that keeps the latest row of each key in a table of alternating versions.
+
+    The first batch has nothing to merge with; that is told by there being no
+    version at all. A version that is missing or cannot be read later on is an
+    error, since going on without it would lose the history.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        path = f"{target}/v{epoch}"
-        try:
-            old = spark.read.parquet(f"{target}/v{epoch - 1}")
-            both = old.unionByName(batch, allowMissingColumns=True)
-        except Exception:  # noqa: BLE001  the first batch has nothing to merge with
-            both = batch
-        keep_best(both, keys, [F.negative(F.unix_micros(order))]).write.mode("overwrite").parquet(path)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(target)
+        fs = root.getFileSystem(conf)
+        older = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        both = batch
+        if any(v.startswith("v") and v != f"v{epoch}" for v in older):
+            both = spark.read.parquet(f"{target}/v{epoch - 1}").unionByName(batch, allowMissingColumns=True)
+        keep_best(both, keys, [F.negative(F.unix_micros(order))]).write.mode("overwrite").parquet(f"{target}/v{epoch}")
 
     return write

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from panelwright.streaming import arrivals
 
 SCHEMA = "key string, year int, value double, ts timestamp"
@@ -30,3 +32,13 @@ def test_merge_keeps_the_latest(spark, tmp_path):
     f(a, 0)
     f(b, 1)
     assert {r["key"]: r["value"] for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()} == {"a": 9.0, "b": 2.0}
+
+
+def test_merge_does_not_go_on_without_the_history(spark, tmp_path):
+    f = arrivals.merge_latest(str(tmp_path / "t"), ["key"], "ts")
+    a = spark.createDataFrame([("a", 1, 1.0, dt.datetime(2024, 1, 1))], SCHEMA)
+    f(a, 0)
+    f(a, 0)  # a batch that is written again
+    with pytest.raises(Exception, match="v4"):
+        f(a, 5)
+    assert not (tmp_path / "t/v5").exists()

@@ -79,7 +79,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_stability(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "panel_ml")
     c = profiling.value_counts(t, ["load_series", "load_id"], [c for c in t.columns if c not in ("load_series", "load_id")])
-    return profiling.stability(c, "load_series", "load_id")
+    s = profiling.stability(c, "load_series", "load_id")
+    return s.withColumns({"psi": F.round("psi", 6), "chi_square": F.round("chi_square", 4)})
 
 
 # --- 7 schema drift

@@ -73,3 +73,27 @@ def _filled() -> str:
 
 
 SQL["p5_filled"] = _filled()
+
+
+def _stability() -> str:
+    """Index and chi-square of every column over bins of an eighth of a power of two, or over the texts themselves."""
+    numbers = "row_id fiscal_year pop_2024 file_id total_current_operating_income total_local_sources total_external_sources nta_ira total_current_operating_exp total_capital_investment_exp total_expenditures fund_cash_available fund_cash_balance_end population land_area_sqkm ur_a ur_b nta_dependency election_year".split()
+    texts = "psgc10 lgu_name province region lgu_type income_class city_class is_independent_city template_era loaded_at spent_source".split()
+    a = "abs(x)"
+    power = f"CASE WHEN {a} > 0 THEN floor(log2({a})) ELSE -1080 END"
+    code = f"(({power}) + 1080) * 16 + CASE WHEN {a} > 0 THEN floor(({a} / pow(2, {power}) - 1) * 8) ELSE 0 END"
+    rows = [f"SELECT load_series, load_id, '{c}' AS column_name, CAST(CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE {c} END AS DOUBLE) AS x, NULL AS s FROM panel_ml" for c in numbers]
+    rows += [f"SELECT load_series, load_id, '{c}', NULL, CAST({'make_timestamp(epoch_us(loaded_at))' if c == 'loaded_at' else c} AS VARCHAR) FROM panel_ml" for c in texts]
+    return f"""
+WITH v AS ({" UNION ALL ".join(rows)}),
+b AS (SELECT load_series, load_id, column_name, CASE WHEN x IS NOT NULL THEN CAST(CAST(CASE WHEN x < 0 THEN -({code}) - 1 ELSE {code} END AS BIGINT) AS VARCHAR) ELSE coalesce(s, '∅') END AS bin FROM v),
+c AS (SELECT load_series, load_id, column_name, bin, count(*) AS n FROM b GROUP BY ALL),
+l AS (SELECT load_series AS ls, load_id AS cur, lag(load_id) OVER (PARTITION BY load_series ORDER BY load_id) AS prev FROM (SELECT DISTINCT load_series, load_id FROM panel_ml)),
+u AS (SELECT ls, cur, column_name, bin, sum(n) FILTER (load_id = cur) AS a, sum(n) FILTER (load_id = prev) AS b FROM c JOIN l ON load_series = ls AND (load_id = cur OR load_id = prev) WHERE prev IS NOT NULL GROUP BY ALL),
+t AS (SELECT ls, cur, column_name, coalesce(a, 0) AS a, coalesce(b, 0) AS b, sum(a) OVER w AS ta, sum(b) OVER w AS tb FROM u WINDOW w AS (PARTITION BY ls, cur, column_name)),
+p AS (SELECT *, greatest(a / ta, 1e-4) AS pa, greatest(b / tb, 1e-4) AS pb, (a + b) / (ta + tb) AS e FROM t WHERE ta > 0 AND tb > 0)
+SELECT ls AS load_series, cur AS load_id, column_name, round(sum((pa - pb) * ln(pa / pb)), 6) AS psi, round(sum(pow(a - e * ta, 2) / (e * ta) + pow(b - e * tb, 2) / (e * tb)), 4) AS chi_square, count(*) - 1 AS degrees FROM p GROUP BY ALL
+"""
+
+
+SQL["p6_stability"] = _stability()

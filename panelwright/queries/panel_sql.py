@@ -223,3 +223,17 @@ def non_null_sql(columns: list[tuple[str, str]]) -> str:
 
 _PANEL = "row_id:l psgc10:s fiscal_year:l lgu_name:s province:s region:s lgu_type:s income_class:s city_class:s pop_2024:l template_era:s file_id:l load_series:s load_id:l total_current_operating_income total_local_sources total_external_sources nta_ira total_current_operating_exp total_capital_investment_exp total_expenditures fund_cash_available fund_cash_balance_end population land_area_sqkm ur_a ur_b nta_dependency spent_source:s election_year:l"
 SQL["nonnull_rates"] = non_null_sql([(x.split(":")[0], "x" if ":" in x else "double") for x in _PANEL.split()])
+
+
+def _no_brackets(x: str) -> str:
+    return squeeze(f"regexp_replace({x}, '\\([^)]*\\)', ' ', 'g')")
+
+
+_TYPED_REGION = plain_key("regexp_replace(" + _no_brackets("region") + ", '^\\.+', '')")
+SQL["region_names"] = f"""
+WITH n AS (SELECT DISTINCT {_no_brackets('region_name')} AS name FROM psgc_lgu_master WHERE region_name IS NOT NULL), k AS (SELECT name, {plain_key('name')} AS key FROM n WHERE name <> ''),
+t AS (SELECT DISTINCT region, {_TYPED_REGION} AS t, upper(regexp_extract(region, '^\\s*(?:region|reg\\.?|r)\\s*0*([ivx]+|[0-9]+)\\b', 1, 'i')) AS r FROM sre_panel),
+h AS (SELECT region, name, CASE WHEN t = key THEN 0 WHEN starts_with(t, key || ' ') THEN 1 ELSE 2 END AS test, key FROM t JOIN k ON t = key OR starts_with(t, key || ' ') OR ends_with(t, ' ' || key)),
+b AS (SELECT region, name FROM h QUALIFY row_number() OVER (PARTITION BY region ORDER BY test, length(key) DESC, key) = 1)
+SELECT t.region, coalesce(b.name, 'Region ' || CAST({REGION} AS VARCHAR)) AS canonical FROM t LEFT JOIN b ON t.region IS NOT DISTINCT FROM b.region
+"""

@@ -73,6 +73,19 @@ def test_exact_quantiles(spark, q):
         assert got[g] == pytest.approx(float(np.quantile([v for k, v in data if k == g], q)), rel=1e-9, abs=1e-9)
 
 
+def test_midpoints_are_those_of_sql(spark):
+    import duckdb
+
+    pairs = {"a": (4.954, 144.949), "b": (6.516, 178.872), "c": (0.939, 102.835), "d": (7.623, 100.211), "e": (5e-324, 5e-324)}
+    df = spark.createDataFrame([(g, x) for g, xy in pairs.items() for x in xy], "g string, v double")
+    got = {r["g"]: r["quantile"] for r in profiling.exact_quantiles(df.groupBy("g", "v").count(), ["g"], "v", "count").collect()}
+    assert got.pop("e") == 5e-324
+    assert got == {g: duckdb.execute("SELECT median(x) FROM (VALUES (?::DOUBLE), (?::DOUBLE)) t(x)", pairs[g]).fetchone()[0] for g in got}
+    holes = df.filter("g <> 'e'").unionByName(spark.createDataFrame([(g, None) for g in got], "g string, v double"))
+    filled = impute.fill_by_group(holes, {"v": F.col("v").isNull()}, [["g"], []], min_support=2).filter("v_filled")
+    assert {r["g"]: r["v"] for r in filled.collect()} == got
+
+
 def test_profile_breaks(spark):
     rows = [("s", 1, 1.0, "1st")] * 10 + [("s", 2, None, "First")] * 3 + [("s", 2, 1.0, "1st")] * 7 + [("s", 4, 4.0, "1st")] * 8 + [("s", 4, float("nan"), None)] * 2
     df = spark.createDataFrame(rows, "ser string, load long, x double, c string").withColumn("column_name", F.lit("clash"))

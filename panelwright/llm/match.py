@@ -346,12 +346,13 @@ def candidates(hashes: DataFrame, width: type, least: float = LEAST_COSINE, bloc
     """
     size = hashes.select("bk", "is_q", "is_m").groupBy("bk").agg(F.sum("is_q").alias("nq"), F.sum("is_m").alias("nm")).filter(F.col("nq") * F.col("nm") > block * block)
     size = size.select("bk", F.ceil(F.col("nq") / block).cast("int").alias("pq"), F.ceil(F.col("nm") / block).cast("int").alias("pm"))
-    h = hashes.join(size, "bk", "left").withColumn("pq", F.coalesce("pq", F.lit(1))).withColumn("pm", F.coalesce("pm", F.lit(1)))
+    # written, so that its few rows are known to be few and the hashes are not shuffled to meet them
+    h = hashes.join(materialize(size, "match-hot"), "bk", "left").withColumn("pq", F.coalesce("pq", F.lit(1))).withColumn("pm", F.coalesce("pm", F.lit(1)))
     place = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
-    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    m = h.filter("is_m = 1").withColumn("i", parts("pq")).select("bk", (F.col("i") * F.col("pm") + place("pm")).alias("part"), F.lit(0).alias("side"), "vid", "vec", "sig")
-    q = h.filter("is_q = 1").withColumn("j", parts("pm")).select("bk", (place("pq") * F.col("pm") + F.col("j")).alias("part"), F.lit(1).alias("side"), "vid", "vec", "sig")
-    rows = m.unionByName(q).repartition(F.col("bk"), F.col("part")).sortWithinPartitions("bk", "part", "side")
+    parts = lambda there, n, part, side: F.when(F.col(there) == 1, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.struct(part(i).alias("part"), F.lit(side).alias("side")))).otherwise(F.array().cast("array<struct<part:int,side:int>>"))
+    both = F.concat(parts("is_m", "pq", lambda i: i * F.col("pm") + place("pm"), 0), parts("is_q", "pm", lambda j: place("pq") * F.col("pm") + j, 1))
+    rows = h.select("bk", F.explode(both).alias("to"), "vid", "vec", "sig").select("bk", "to.*", "vid", "vec", "sig")
+    rows = rows.repartition(F.col("bk"), F.col("part")).sortWithinPartitions("bk", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, []  # the bucket at hand and its known values
@@ -498,6 +499,8 @@ def value_matches(recs: DataFrame, units: DataFrame, regions: DataFrame, alias:
     pairs = candidates(hashed(vals, shared, bits), signature_type(bits))
     # a value's right partner lies near its best cosine, so edits are counted for few pairs
     pairs = pairs.withColumn("top", F.max("cosine").over(W.partitionBy("qid"))).filter(F.col("cosine") >= F.col("top") - NEAR).drop("top")
+    # written, so that the shuffle of vectors is gone from the disk before texts are joined
+    pairs = materialize(pairs, "match-candidates")
     side = lambda x, *more: vals.select(F.col("vid").alias(f"{x}id"), F.col("text").alias(x), *more, *[F.col(c).alias(f"{x}_{c}") for c in ("ti", "co", "sk", "cc")])
     p = pairs.join(side("q", F.col("kind")), "qid").join(side("m"), "mid")
     p = p.withColumn("sim", names.name_similarity(("q_ti", "q_co", "q", "q_sk", "q_cc"), ("m_ti", "m_co", "m", "m_sk", "m_cc")))

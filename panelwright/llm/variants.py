@@ -1,10 +1,10 @@
 """Variant spellings of one name linked, whether or not a master list holds it.
 
-A prefix-filtered set-similarity join on q-grams proposes pairs: tokens are
-ordered from rare to common, and only as many of the rarest are joined as two
-sets of the wanted similarity must share one of. Pairs are verified by a soft
-weighted token similarity, in which words match by edits and rare words count
-more. Spellings are joined to the names in the master list first, old names
+A set-similarity join on q-grams proposes pairs: texts of a block are held
+against each other as counts of hashed q-grams, a product of two matrices that
+never falls short of the tokens two sets share, and only pairs that may reach
+the wanted share go on. Pairs are verified by a soft weighted token
+similarity, in which words match by edits and rare words count more. Spellings are joined to the names in the master list first, old names
 included; those that fit none are joined to each other and gather around the
 spelling that most of them use.
 """
@@ -27,12 +27,16 @@ from ..session import materialize
 from . import names
 from .match import EVIDENCE, alike, decide, province_aliases, region_names
 
-#: Token space, buckets that tokens and words are counted in, least share of common tokens, least verified similarity, the same for names that stand alone.
-SPACE, BUCKETS, LEAST_SHARED, LEAST_SIM, LEAST_ALONE = 1 << 20, 1 << 16, 0.28, 0.58, 0.74
+#: Token space, buckets that tokens and words are counted in, least share of common tokens, least verified similarity, the same for names that stand alone, how far below the best a province may be.
+SPACE, BUCKETS, LEAST_SHARED, LEAST_SIM, LEAST_ALONE, NEAR_PLACE = 1 << 20, 1 << 16, 0.28, 0.58, 0.74, 0.12
 #: What a slip costs: a letter for one that is taken for it, for any other, a vowel lost or added, an h or a doubled letter, any other letter, two neighbours swapped.
 TAKEN_FOR, CHANGED, VOWEL, SILENT, LETTER, SWAPPED = 0.4, 1.0, 0.7, 0.4, 1.0, 0.9
 
+#: Columns that a set of tokens is counted in, those of them that one bucket of common tokens has for itself; known and typed texts of a block that one task holds, typed ones held against them at once, pairs aligned at once.
+COLUMNS, OWN, KNOWN, TYPED, AT_ONCE, ALIGNED = 256, 128, 8192, 4096, 1024, 4096
+
 _FOLDED = str.maketrans("vfcqzeowyj", "bpkksiuuih")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def _bucket(word: str) -> int:
@@ -67,14 +71,28 @@ def grams(text: str) -> list[int]:
     return names.grams(text.replace(" ", ""), SPACE)
 
 
-def prefix(tokens: list[int], df: np.ndarray, shared: float) -> list[int]:
-    """The rarest tokens of a set of which two sets of similarity ``shared`` have at least one in common.
+def columns(df: np.ndarray) -> np.ndarray:
+    """The column of each bucket of tokens: the commonest buckets have one each, the others share the rest."""
+    out = OWN + np.arange(BUCKETS) % (COLUMNS - OWN)
+    out[np.argsort(-df, kind="stable")[:OWN]] = np.arange(OWN)
+    return out
+
 
-    With n tokens at least ceil(shared * n) are common, so one of them lies
-    among the n - ceil(shared * n) + 1 rarest, in one order for all sets.
+def counted(texts: list[str], column: np.ndarray, shared: float, known: bool) -> np.ndarray:
+    """A row per text, such that a typed row times a known row is 0 or more for all sets that have ``shared`` of their tokens in common.
+
+    That is (1 + shared) * both >= shared * (n + m). As tokens of one column
+    are counted together, the product is never less than the true one.
     """
-    order = sorted(tokens, key=lambda t: (df[t % BUCKETS], t))
-    return order[: len(order) - math.ceil(shared * len(order)) + 1]
+    sets = [grams(t) for t in texts]
+    n = np.array([len(x) for x in sets])
+    at = np.repeat(np.arange(len(sets)), n) * COLUMNS + column[np.fromiter((t for x in sets for t in x), np.int64, n.sum()) % BUCKETS]
+    x = np.ones((len(sets), COLUMNS + 2), np.float32)
+    x[:, :COLUMNS] = np.bincount(at, minlength=len(sets) * COLUMNS).reshape(-1, COLUMNS)
+    x[:, COLUMNS + known] = -shared * n
+    if not known:
+        x[:, :COLUMNS] *= 1 + shared
+    return x
 
 
 def slips(a: str, b: str) -> tuple[list[float], list[float]]:
@@ -159,44 +177,134 @@ def soft_similarity(q: str, m: str, weight) -> float:  # noqa: ANN001
     return max(s, 0.8) if min(len(a), len(b)) >= 5 and (a.startswith(b) or b.startswith(a)) else s
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, stats: tuple, shared: float = LEAST_SHARED, least: float = LEAST_SIM) -> DataFrame:
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of each text as numbers, one row per text, and its length; 36 stands for any other sign."""
+    wide = np.array(texts, f"U{max(map(len, texts))}").view(np.uint32).reshape(len(texts), -1)
+    number = np.full(128, 36)
+    number[[ord(c) for c in _LETTERS]] = np.arange(36)
+    return number[np.minimum(wide, 127)], np.array([len(t) for t in texts])
+
+
+def _costs() -> tuple[np.ndarray, np.ndarray]:
+    """What a letter for another costs, and what a lone letter does, by their numbers; other signs cost the least that is possible."""
+    swap, lone = np.zeros((37, 37), np.float32), np.full(37, SILENT, np.float32)
+    for i, x in enumerate(_LETTERS):
+        lone[i] = SILENT if x == "h" else VOWEL if x in "aeiou" else LETTER
+        for j, y in enumerate(_LETTERS):
+            swap[i, j] = 0 if x == y else TAKEN_FOR if x.translate(_FOLDED) == y.translate(_FOLDED) else CHANGED
+    return swap.reshape(-1), lone
+
+
+def ceilings(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How similar the coded texts ``a[i]`` and ``b[j]``, of one word each, are at most.
+
+    The cheapest slips of ``slips`` are counted for many pairs at once, without
+    laying them on letters: of one word each, texts with slips of cost c keep
+    1 - c / n letters at most, n being the longer's; a name cut off counts 0.8.
+    """
+    swap, lone = _costs()
+    out = np.empty(len(i), np.float32)
+    long = np.maximum(a[1][i], b[1][j])
+    order = np.argsort(long, kind="stable")
+    for k in range(0, len(i), ALIGNED):
+        at = order[k : k + ALIGNED]
+        la, lb = a[1][i[at]], b[1][j[at]]
+        n, m, every = la.max(), lb.max(), np.arange(len(at))
+        x, y = np.ascontiguousarray(a[0][i[at], :n].T), np.ascontiguousarray(b[0][j[at], :m].T)
+        drop, add = lone[x], lone[y]
+        for c, z in ((drop, x), (add, y)):
+            c[1:][z[1:] == z[:-1]] = SILENT
+        up, above, cost = None, np.zeros((m + 1, len(at)), np.float32), np.zeros(len(at), np.float32)
+        np.cumsum(add, axis=0, out=above[1:])
+        before = None
+        for r in range(n):
+            cur, same, row = np.empty_like(above), x[r] == y, x[r] * 37
+            cur[0] = above[0] + drop[r]
+            for c in range(m):
+                best = np.minimum(above[c] + swap[row + y[c]], above[c + 1] + drop[r])
+                np.minimum(best, cur[c] + add[c], out=best)
+                if r and c:
+                    both = same[c - 1] & before[c]
+                    best[both] = np.minimum(best[both], up[c - 1][both] + np.float32(SWAPPED))
+                cur[c + 1] = best
+            done = la == r + 1
+            cost[done] = cur[lb[done], every[done]]
+            up, above, before = above, cur, same
+        w = min(n, m)
+        cut = ((x[:w] == y[:w]) | (np.arange(w)[:, None] >= np.minimum(la, lb))).all(0)
+        out[at] = np.maximum(1 - cost / long[at], np.where(cut, 0.8, 0)) + 1e-4
+    return out
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, stats: tuple, shared: float = LEAST_SHARED, least: float = LEAST_SIM, near: float | None = None) -> DataFrame:
     """``(block, q, m, sim)`` of texts of both sides that lie in one block and are similar; each pair once.
 
     Both sides have ``(block, text)``, a text being words with blanks between
-    them. Blocks only limit the search; a block may hold a third of all texts,
-    as the join is on block and token. Pairs are made distinct, held against
-    the wanted share of common tokens, and then compared by
+    them. Blocks only limit the search; a block may hold a third of all texts:
+    one with more than ``TYPED`` or ``KNOWN`` of a side is dealt to as many
+    tasks as it has pairs of such parts. Within a task, known texts come first
+    and typed ones stream past them. Pairs that may have the wanted share of
+    common tokens are found by ``counted``, those of one word each bounded by
+    ``ceilings``, the rest held against the share and compared by
     ``soft_similarity``, a word weighing log(1 + texts / texts that have it).
+    With ``near``, pairs may be left out that are further than that below the
+    most similar one of their typed text and block.
     """
     df, wf, n_texts = stats
-    counts = left.sparkSession.sparkContext.broadcast((df, wf))  # of fixed size
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                out = [(b, t, x) for b, t in zip(part.column("block").to_pylist(), part.column("text").to_pylist(), strict=True) for x in prefix(grams(t), counts.value[0], shared)]
-                cols = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "text", "token"])
-
-    tokens = lambda x: x.select("block", "text").distinct().mapInArrow(keys, "block string, text string, token long")
-    # the planner takes the tokens for as few as the texts they come from and would broadcast them
-    known = tokens(right).withColumnRenamed("text", "m").hint("merge")
-    j = tokens(left).withColumnRenamed("text", "q").join(known, ["block", "token"]).select("block", "q", "m").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = left.sparkSession
+    counts = spark.sparkContext.broadcast((columns(df), wf))  # of fixed size
+    side = lambda x, n: x.select("block", "text").filter("block is not null").distinct().withColumn("side", F.lit(n))
+    sides = materialize(side(right, 0).unionByName(side(left, 1)), "variants-sides")
+    parts = sides.groupBy("block").agg(F.ceil(F.count_if(F.col("side") == 1) / TYPED).cast("int").alias("pq"), F.ceil(F.count_if(F.col("side") == 0) / KNOWN).cast("int").alias("pm"))
+    # hot blocks have thousands of texts each, so they are few
+    rows = sides.join(F.broadcast(parts.filter("pq > 0 and pm > 0 and pq * pm > 1")), "block", "left").withColumn("pq", F.coalesce("pq", F.lit(1))).withColumn("pm", F.coalesce("pm", F.lit(1)))
+    place = lambda n: F.pmod(F.xxhash64("text"), F.col(n)).cast("int")
+    to = lambda n, part: F.transform(F.sequence(F.lit(0), F.col(n) - 1), part)
+    rows = rows.withColumn("part", F.explode(F.when(F.col("side") == 0, to("pq", lambda i: i * F.col("pm") + place("pm"))).otherwise(to("pm", lambda i: place("pq") * F.col("pm") + i))))
+    # by a stated number, as parts of few bytes are much work and would be put together
+    rows = rows.select("block", "part", "side", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "part").sortWithinPartitions("block", "part", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column, often = counts.value
         sets = lru_cache(20_000)(lambda t: frozenset(grams(t)))
-        weight = lru_cache(20_000)(lambda w: math.log(1 + n_texts / max(1, int(counts.value[1][_bucket(w)]))))
+        weight = lru_cache(20_000)(lambda w: math.log(1 + n_texts / max(1, int(often[_bucket(w)]))))
+
+        def compared(block: str, typed: list, known: list, x: np.ndarray, codes: tuple, single: np.ndarray) -> Iterator[tuple]:
+            i, j = np.nonzero(counted(typed, column, shared, False) @ x.T >= -0.01)
+            most = np.ones(len(i), np.float32)
+            one = np.flatnonzero(np.array([" " not in t for t in typed])[i] & single[j])
+            most[one] = ceilings(coded(typed), codes, i[one], j[one])
+            some = np.flatnonzero(most >= least)
+            some = some[np.lexsort((-most[some], i[some]))]
+            now, top = -1, 0.0
+            for k, n, bound in zip(i[some].tolist(), j[some].tolist(), most[some].tolist(), strict=True):
+                if k != now:
+                    now, top = k, 0.0
+                if near is not None and bound < top - near:
+                    continue
+                a, b = sets(typed[k]), sets(known[n])
+                both = len(a & b)
+                if both >= shared * (len(a) + len(b) - both) and (s := soft_similarity(typed[k], known[n], weight)) >= least:
+                    top = max(top, s)
+                    yield block, typed[k], known[n], s
+
+        now, known, held = None, [], None  # the part at hand, its known texts and what is made of them
         for batch in batches:
+            block, part, side, text = (batch.column(c).to_pylist() for c in ("block", "part", "side", "text"))
+            ends = [k for k in range(1, len(text)) if (block[k], part[k], side[k]) != (block[k - 1], part[k - 1], side[k - 1])]
             kept = []
-            for block, q, m in zip(*(batch.column(c).to_pylist() for c in ("block", "q", "m")), strict=True):
-                a, b = sets(q), sets(m)
-                both = len(a & b)
-                if both >= shared * (len(a) + len(b) - both) and (s := soft_similarity(q, m, weight)) >= least:
-                    kept.append((block, q, m, s))
+            for i, j in zip([0, *ends], [*ends, len(text)], strict=True) if text else ():
+                if (block[i], part[i]) != now:
+                    now, known, held = (block[i], part[i]), [], None
+                if side[i] == 0:
+                    known += text[i:j]
+                elif known:
+                    held = held or (counted(known, column, shared, True), coded(known), np.array([" " not in t for t in known]))
+                    for k in range(i, j, AT_ONCE):
+                        kept += compared(block[i], text[k : min(j, k + AT_ONCE)], known, *held)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], names=["block", "q", "m", "sim"])
 
-    return j.mapInArrow(verify, "block string, q string, m string, sim double")
+    return rows.mapInArrow(run, "block string, q string, m string, sim double")
 
 
 def link(labels: DataFrame, units: DataFrame, master: DataFrame) -> DataFrame:
@@ -248,9 +356,9 @@ def places(labels: DataFrame, units: DataFrame, master: DataFrame, stats: tuple)
     block = lambda b, c: (F.lit(b).alias("block"), F.col(c).alias("text"))
     typed = labels.select(*block("p", "pv")).unionByName(labels.select(*block("p", "pnote"))).unionByName(labels.filter("not rk rlike '^[0-9]+$'").select(*block("r", "rk"))).filter("text <> ''")
     known = alias.select(*block("p", "text")).unionByName(regions.select(*block("r", "text")))
-    pairs = materialize(similar_pairs(typed, known, stats, 0.25, 0.5), "variants-places")
+    pairs = materialize(similar_pairs(typed, known, stats, 0.25, 0.5, NEAR_PLACE), "variants-places")
     p = pairs.filter("block = 'p' and sim >= 0.6").join(alias.select(F.col("text").alias("m"), F.col("pv").alias("upv")), "m").groupBy("q", "upv").agg(F.max("sim").alias("psim"))
-    p = p.withColumn("top", F.max("psim").over(W.partitionBy("q"))).filter("psim >= top - 0.12").drop("top")
+    p = p.withColumn("top", F.max("psim").over(W.partitionBy("q"))).filter(F.col("psim") >= F.col("top") - NEAR_PLACE).drop("top")
     r = pairs.filter("block = 'r'").join(regions.withColumnRenamed("text", "m").withColumnRenamed("rk", "rid"), "m").groupBy(F.col("q").alias("rk")).agg(F.max_by("rid", F.struct("sim", "rid")).alias("rid"))
     return p, r
 

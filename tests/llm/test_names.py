@@ -2,6 +2,7 @@ import difflib
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -221,3 +222,37 @@ def test_hot_buckets_give_each_pair_once(spark):
     shared = spark.sparkContext.broadcast((match.node_vectors(np.zeros((match.TOKENS, match.DIM), np.float32)), np.ones(match.TOKENS, np.float32)))
     got = [(r["qid"], r["mid"]) for r in match.candidates(match.hashed(v, shared, bits), match.signature_type(bits), block=7).collect()]
     assert len(got) == len(set(got)) == 900
+
+
+def test_bounds_of_pairs_never_fall_short():
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("bdghklmnjvfpcqz") + rnd.choice("aeiouyw") for _ in range(rnd.randrange(1, 6))) for _ in range(120)]
+    typed = [match.misspell(match.misspell(b, rnd), rnd) for b in base] + ["sanyi", "oriental9", base[0] + "norte"]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(typed)), range(len(base)), indexing="ij"))
+    most = variants.ceilings(variants.coded(typed), variants.coded(base), i, j)
+    assert all(m >= variants.soft_similarity(typed[a], base[b], len) for m, a, b in zip(most, i, j, strict=True)) and (most < 0.5).mean() > 0.5
+    column, sets = variants.columns(np.zeros(variants.BUCKETS)), lambda t: set(variants.grams(t))
+    may = (variants.counted(typed, column, 0.28, False) @ variants.counted(base, column, 0.28, True).T).ravel() >= -0.01
+    share = np.array([len(sets(typed[a]) & sets(base[b])) / len(sets(typed[a]) | sets(base[b])) for a, b in zip(i, j, strict=True)])
+    assert may[share >= 0.28].all() and (share >= 0.28).sum() >= 100 and may.mean() < 0.2
+
+
+def test_a_block_of_one_ending_is_searched_whole_in_little_time(spark, monkeypatch):
+    monkeypatch.setattr(variants, "KNOWN", 400)
+    monkeypatch.setattr(variants, "TYPED", 150)
+    rnd = random.Random(8)
+    base = sorted({"".join(rnd.choice("bdgklmnprstvz") + rnd.choice("aeiou") for _ in range(4)) + "oriental" for _ in range(1200)})
+    typed = sorted({match.misspell(b, rnd) for b in base[::2]})
+    left, right = (spark.createDataFrame([("p", t) for t in x], "block string, text string") for x in (typed, base))
+    stats = variants.corpus_statistics(left.select("text").unionByName(right.select("text")))
+    began = time.time()
+    got = [(r["q"], r["m"], r["sim"]) for r in variants.similar_pairs(left, right, stats, 0.25, 0.5, 0.0).collect()]
+    assert time.time() - began < 60 and len(got) == len({x[:2] for x in got})
+    weight = lambda w: 1.0
+    best = {}
+    for q, m, s in got:
+        assert s == pytest.approx(variants.soft_similarity(q, m, weight), abs=0.08)
+        best[q] = max(best.get(q, 0), s)
+    assert set(best) == set(typed)
+    for q in typed[::150]:
+        assert best[q] >= max(variants.soft_similarity(q, m, weight) for m in base) - 0.03
